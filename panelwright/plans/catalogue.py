@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from panelwright.plans import corpus_tables
+
+QUERIES: dict = {**corpus_tables.QUERIES}
+ORACLES: dict = {**corpus_tables.ORACLES}
