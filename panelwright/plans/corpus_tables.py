@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.functions.ids import clean_quarter, digits_id
+from panelwright.functions.ids import clean_quarter, digits_id, quarter_index, quarter_label
+from panelwright.operators.regular_grid import read_timestamp, regular_grid
 from panelwright.operators.snapshots import snapshot_changes
+from panelwright.operators.units import common_grams
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -40,5 +42,44 @@ JOIN step s ON s.roaster IS NOT DISTINCT FROM coalesce(n.roaster, o.roaster) AND
 WHERE o.variant_id IS NULL OR n.variant_id IS NULL OR abs(n.price_inr - o.price_inr) >= 0.005 OR (n.price_inr IS NULL) <> (o.price_inr IS NULL)
 """
 
-QUERIES = {"p2_found": p2_found}
-ORACLES = {"p2_found": P2_SQL}
+
+
+def p5_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Each roaster's unbroken quarterly series of its variant counts."""
+    c = _t(spark, d, "coverage_report").withColumn("at", read_timestamp(F.col("served_ts")))
+    quarter = F.concat(F.substring("at", 1, 4), F.lit("Q"), F.ceil(F.substring("at", 6, 2).cast("int") / 3).cast("string"))
+    grid = regular_grid(c, F.col("roaster"), quarter_index(quarter), F.col("at"), F.col("variant_count"))
+    return grid.select(F.col("source").alias("roaster"), quarter_label(F.col("period")).alias("quarter"), "observed", "value", F.round("filled", 6).alias("filled"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_grid(spark, d).where(~F.col("observed")).select("roaster", "quarter")
+
+
+P5_SQL = """
+WITH c AS (SELECT roaster, trim(served_ts) AS s FROM coverage_report),
+t AS (SELECT roaster, CASE
+    WHEN regexp_full_match(s, '[0-9]{14}') THEN try_strptime(s, '%Y%m%d%H%M%S')
+    WHEN regexp_full_match(s, '[0-9]{8}') THEN try_strptime(s, '%Y%m%d')
+    ELSE try_cast(replace(s, 'T', ' ') AS timestamp) END AS cap FROM c),
+q AS (SELECT DISTINCT roaster, year(cap) * 4 + quarter(cap) - 1 AS i FROM t WHERE cap IS NOT NULL),
+g AS (SELECT roaster, unnest(range(min(i), max(i) + 1)) AS i FROM q GROUP BY roaster)
+SELECT g.roaster, CAST(g.i // 4 AS varchar) || 'Q' || CAST(g.i % 4 + 1 AS varchar) AS quarter
+FROM g WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.roaster IS NOT DISTINCT FROM g.roaster AND q.i = g.i)
+"""
+
+
+def p6_grams(spark: SparkSession, d: str) -> DataFrame:
+    """Every size before the change, in grams, with where its unit comes from."""
+    s = _t(spark, d, "size_changes")
+    level = F.lower(F.trim(F.coalesce("level", F.lit(""))))
+    s = s.select(digits_id(F.col("product_id"), 13).alias("product"), F.when(level == "product", F.lit("")).otherwise(F.coalesce(digits_id(F.col("variant_id"), 14), F.lit(""))).alias("variant"), clean_quarter(F.col("from_quarter")).alias("since"), "sizes_before", "variant_title_before", "size_source_before")
+    return common_grams(s, "sizes_before", "variant_title_before", "size_source_before", ["product", "variant", "since"])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_grams(spark, d).select(F.col("product").alias("product_id"), F.col("variant").alias("variant_id"), F.col("since").alias("from_quarter"), F.round("grams").cast("long").alias("grams")).distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_grams": p6_grams}
+ORACLES = {"p2_found": P2_SQL, "p5_found": P5_SQL}
