@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions.ids import clean_quarter, digits_id, quarter_index, quarter_label
+from panelwright.operators.nested import holder_rows
 from panelwright.operators.regular_grid import read_timestamp, regular_grid
 from panelwright.operators.snapshots import snapshot_changes
 from panelwright.operators.units import common_grams
@@ -81,5 +82,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_grams(spark, d).select(F.col("product").alias("product_id"), F.col("variant").alias("variant_id"), F.col("since").alias("from_quarter"), F.round("grams").cast("long").alias("grams")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_grams": p6_grams}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    _, rows = holder_rows(_t(spark, d, "page_payloads"), F.col("payload_id"), F.col("payload"))
+    return rows.where("holder_id is not null and row_id is not null").select(F.col("doc").alias("payload_id"), F.col("holder_id").alias("product_id"), F.col("row_id").alias("variant_id"), F.col("title").alias("variant_title")).distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_grams": p6_grams, "p7_found": p7_found}
 ORACLES = {"p2_found": P2_SQL, "p5_found": P5_SQL}
