@@ -9,6 +9,7 @@ from panelwright.functions.ids import clean_quarter, digits_id, quarter_index, q
 from panelwright.operators.nested import holder_rows
 from panelwright.operators.regular_grid import read_timestamp, regular_grid
 from panelwright.operators.snapshots import snapshot_changes
+from panelwright.operators.spikes import flag_spikes
 from panelwright.operators.units import common_grams
 
 
@@ -45,6 +46,18 @@ WHERE o.variant_id IS NULL OR n.variant_id IS NULL OR abs(n.price_inr - o.price_
 
 
 
+def p3_spikes(spark: SparkSession, d: str) -> DataFrame:
+    """Implausible price readings with the rule that found them and their isolation score."""
+    v = _t(spark, d, "variants_long")
+    found = flag_spikes(v, F.col("roaster"), digits_id(F.col("variant_id"), 14), quarter_index(clean_quarter(F.col("quarter"))), F.col("served_ts"), F.col("price_inr"), F.col("compare_at_price_inr"))
+    field = F.when(F.col("field") == "main", "price_inr").otherwise("compare_at_price_inr")
+    return found.select(F.col("series").alias("variant_id"), quarter_label(F.col("t")).alias("quarter"), field.alias("field"), "rule", F.round("score", 6).alias("score"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_spikes(spark, d).select("variant_id", "quarter", "field")
+
+
 def p5_grid(spark: SparkSession, d: str) -> DataFrame:
     """Each roaster's unbroken quarterly series of its variant counts."""
     c = _t(spark, d, "coverage_report").withColumn("at", read_timestamp(F.col("served_ts")))
@@ -87,5 +100,5 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("holder_id is not null and row_id is not null").select(F.col("doc").alias("payload_id"), F.col("holder_id").alias("product_id"), F.col("row_id").alias("variant_id"), F.col("title").alias("variant_title")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_grams": p6_grams, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_spikes": p3_spikes, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_grams": p6_grams, "p7_found": p7_found}
 ORACLES = {"p2_found": P2_SQL, "p5_found": P5_SQL}
