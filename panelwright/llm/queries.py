@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.ids import digits_id
 from panelwright.llm.groups import link_groups
+from panelwright.llm.listings import same_products
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,5 +28,19 @@ r(v, g) AS (SELECT a, a FROM e UNION SELECT e.b, r.g FROM r JOIN e ON r.v = e.a)
 SELECT v AS record_id, min(g) AS group_id FROM r GROUP BY v
 """
 
-QUERIES = {"p1_found": p1_found}
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every listing of match_candidates with the product it is."""
+    m = _t(spark, d, "match_candidates")
+    sides = [m.select("roaster", digits_id(F.col(f"{side}_id"), 13).alias("id"), F.col(f"{side}_title").alias("title")) for side in ("before", "after")]
+    return same_products(sides[0].unionByName(sides[1]), F.col("roaster"), F.col("id"), F.col("title")).select(F.col("seller").alias("roaster"), F.col("listing").alias("listing_id"), F.col("product").alias("product_group"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    g = p4_groups(spark, d)
+    a, b = g.alias("a"), g.alias("b")
+    same = (F.col("a.product_group") == F.col("b.product_group")) & F.col("a.roaster").eqNullSafe(F.col("b.roaster"))
+    return a.join(b, same & (F.col("a.listing_id") < F.col("b.listing_id"))).select(F.col("a.listing_id").alias("listing_a"), F.col("b.listing_id").alias("listing_b")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_groups": p4_groups}
 ORACLES = {"p1_found": P1_SQL}
