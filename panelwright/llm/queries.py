@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.ids import digits_id
 from panelwright.llm.groups import link_groups
 from panelwright.llm.listings import same_products
+from panelwright.llm.packing import fill_containers
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -42,5 +43,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, same & (F.col("a.listing_id") < F.col("b.listing_id"))).select(F.col("a.listing_id").alias("listing_a"), F.col("b.listing_id").alias("listing_b")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_groups": p4_groups}
+def p8_packs(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in containers of each capacity, by tokens of a public tokenizer."""
+    capacities = _t(spark, d, "pack_capacities").select(F.col("container_kind").alias("kind"), F.col("capacity_tokens").alias("capacity"))
+    packed = fill_containers(_t(spark, d, "documents"), F.col("doc_id"), F.col("text"), capacities)
+    return packed.select(F.col("kind").alias("container_kind"), "container", "slot", F.col("doc").alias("doc_id"), "piece", "first_token", "n_tokens")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_groups": p4_groups, "p8_packs": p8_packs}
 ORACLES = {"p1_found": P1_SQL}
