@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.ids import digits_id
 from panelwright.llm.groups import link_groups
+from panelwright.llm.leaks import leaked_items
 from panelwright.llm.listings import same_products
 from panelwright.llm.packing import fill_containers
 
@@ -50,5 +51,15 @@ def p8_packs(spark: SparkSession, d: str) -> DataFrame:
     return packed.select(F.col("kind").alias("container_kind"), "container", "slot", F.col("doc").alias("doc_id"), "piece", "first_token", "n_tokens")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_groups": p4_groups, "p8_packs": p8_packs}
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that carry an evaluation item, how many of its words and where."""
+    found = leaked_items(_t(spark, d, "documents"), F.col("doc_id"), F.col("text"), _t(spark, d, "eval_items").select("item_id", "passage", "question"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "words", "offset")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_groups": p4_groups, "p8_packs": p8_packs, "p9_found": p9_found, "p9_leaks": p9_leaks}
 ORACLES = {"p1_found": P1_SQL}
