@@ -10,6 +10,7 @@ from panelwright.llm.groups import link_groups
 from panelwright.llm.leaks import leaked_items
 from panelwright.llm.listings import same_products
 from panelwright.llm.packing import fill_containers
+from panelwright.llm.subjects import subject_areas
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -61,5 +62,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_groups": p4_groups, "p8_packs": p8_packs, "p9_found": p9_found, "p9_leaks": p9_leaks}
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's areas and the share of its sentences about them."""
+    areas = [r[0] for r in _t(spark, d, "subject_areas").select("subject_area").distinct().orderBy("subject_area").collect()]
+    labels = _t(spark, d, "subject_labels").select(F.col("doc_id").alias("doc"), F.col("subject_area").alias("area"))
+    found = subject_areas(_t(spark, d, "documents"), F.col("doc_id"), F.col("text"), labels, areas)
+    return found.select(F.col("doc").alias("doc_id"), F.col("area").alias("subject_area"), F.round("share", 6).alias("share"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_shares(spark, d).select("doc_id", "subject_area").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_groups": p4_groups, "p8_packs": p8_packs, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_shares": p10_shares}
 ORACLES = {"p1_found": P1_SQL}
