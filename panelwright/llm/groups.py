@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.session import Scratch
 
-#: Clusters of one level have a radius of about ln(n)/BETA; about a share BETA of the links runs between them.
-BETA = 0.3
-#: Steps of growth per written table.
-STEPS = 2
+#: Clusters of the first level have a radius of about ln(n)/BETA; about a share BETA of the links runs between them.
+BETA = 0.2
 
 
 def _priority(v, level: int, seed: int):
@@ -22,17 +22,16 @@ def _priority(v, level: int, seed: int):
 def _grow(links: DataFrame, level: int, beta: float, seed: int, scratch: Scratch) -> DataFrame:
     """(v, c): the cluster c of each vertex v. Cluster u starts at the time minus its shift and takes one link per unit of time."""
     start = links.select(F.col("a").alias("v")).distinct().select("v", F.struct((-_priority(F.col("v"), level, seed) / beta).alias("at"), F.col("v").alias("c")).alias("best"), F.lit(True).alias("moved"))
-    held, seen = scratch.write(start)
+    held = None
     while True:
-        state = held
-        for _ in range(STEPS):
-            # only vertices whose cluster changed have anything new to tell their neighbours
-            news = state.where("moved").join(links, F.col("v") == F.col("a")).select(F.col("b").alias("v"), F.struct((F.col("best.at") + 1).alias("at"), F.col("best.c").alias("c")).alias("best"), F.lit(False).alias("own"))
-            both = state.select("v", "best", F.lit(True).alias("own")).unionByName(news)
-            best = both.groupBy("v").agg(F.min("best").alias("best"), F.min(F.when(F.col("own"), F.col("best.at"))).alias("was"))
-            state = best.select("v", "best", (F.col("best.at") < F.col("was")).alias("moved"))
-        grown, seen = scratch.write(state, {"moved": F.count_if("moved")})
-        scratch.drop(held)
+        state = start if held is None else held
+        # only vertices whose cluster changed have anything new to tell their neighbours
+        news = state.where("moved").join(links, F.col("v") == F.col("a")).select(F.col("b").alias("v"), F.struct((F.col("best.at") + 1).alias("at"), F.col("best.c").alias("c")).alias("best"), F.lit(None).cast("double").alias("was"))
+        both = state.select("v", "best", F.col("best.at").alias("was")).unionByName(news)
+        best = both.groupBy("v").agg(F.min("best").alias("best"), F.max("was").alias("was"))
+        grown, seen = scratch.write(best.select("v", "best", (F.col("best.at") < F.col("was")).alias("moved")), {"moved": F.count_if("moved")})
+        if held is not None:
+            scratch.drop(held)
         held = grown
         if not seen["moved"]:
             return held.select("v", F.col("best.c").alias("c"))
@@ -60,8 +59,10 @@ def link_groups(pairs: DataFrame, left: str, right: str, *, beta: float = BETA,
     links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     links, seen = scratch.write(links)
     levels: list[DataFrame] = []
+    most = math.log(seen["rows"] + 2)
     while seen["rows"]:
-        cluster = _grow(links, len(levels), beta, seed, scratch)
+        # fewer vertices have smaller shifts: later levels keep the first one's radius and cut fewer links
+        cluster = _grow(links, len(levels), beta * math.log(seen["rows"] + 2) / most, seed, scratch)
         levels.append(cluster)
         of = lambda c: cluster.select(F.col("v").alias(c), F.col("c").alias(f"c{c}"))
         fewer = links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
