@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from panelwright.plans import corpus_tables
+from panelwright.plans import corpus_tables, panel_queries
 
-QUERIES: dict = {**corpus_tables.QUERIES}
-ORACLES: dict = {**corpus_tables.ORACLES}
+_PARTS = (panel_queries, corpus_tables)
+QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLES: dict = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
