@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.operators import costs as C
 from panelwright.operators import panel as P
+from panelwright.operators import pass_through as PT
 from panelwright.operators import price_index as X
+from panelwright.operators import regression as R
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -22,7 +25,7 @@ def _items(spark, d):
 
 
 def _round(df: DataFrame, *names: str, n: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, n) for c in names})
+    return df.withColumns({c: F.round(c, n) + 0.0 for c in names})  # no negative zero
 
 
 PANEL = """
@@ -98,3 +101,165 @@ n AS (SELECT s.*, b.index AS index_before, left(s.quarter, 4)::INT * 4 + right(s
 SELECT roaster, quarter, linked_from, qi - li AS span, round((relative - 1) * 100, 6) AS link_change_pct, round(index_before, 6) AS index_before, round(index, 6) AS index_after, greatest(0, li - 8097 + 1) AS earliest, qi - 8097 AS latest FROM n""")
 def step_timing(spark, d):
     return _round(X.step_timing(X.normalise(X.chain(_items(spark, d)))), "link_change_pct", "index_before", "index_after")
+
+
+def _month_shift(c: str):
+    """The driver's orders lie 28 years before the panel's quarters."""
+    return F.add_months(F.col(c).cast("date"), 28 * 12)
+
+
+def _rates(spark, d):
+    return C.monthly_mean(_t(spark, d, "orders"), _month_shift("o_orderdate"), F.col("o_totalprice") / 1000)
+
+
+def _prices(spark, d):
+    return C.monthly_mean(_t(spark, d, "lineitem"), _month_shift("l_shipdate"), F.col("l_extendedprice") / 10000)
+
+
+def _costs(spark, d, loss=0.18):
+    return C.to_quarters(C.monthly_costs(_prices(spark, d), _rates(spark, d), loss), "green", "roasted")
+
+
+RATES = """
+rates AS (SELECT strftime(o_orderdate + INTERVAL 336 MONTH, '%Y-%m') AS month, avg(o_totalprice / 1000) AS mean, count(*) AS days FROM orders GROUP BY 1),
+prices AS (SELECT strftime(l_shipdate + INTERVAL 336 MONTH, '%Y-%m') AS month, avg(l_extendedprice / 10000) AS mean, count(*) AS days FROM lineitem GROUP BY 1)"""
+COSTS = f"""{RATES},
+mc AS (SELECT month, p.mean * r.mean AS green, p.mean * r.mean / (1 - 0.18) / 10 AS roasted FROM prices p JOIN rates r USING (month)),
+costs AS (SELECT left(month, 4) || 'Q' || ((right(month, 2)::INT + 2) // 3)::VARCHAR AS quarter, count(*) AS months_in_quarter, avg(green) AS green, avg(roasted) AS roasted FROM mc GROUP BY 1)"""
+
+
+@query(f"WITH {RATES} SELECT month, round(mean, 6) AS mean, days FROM rates")
+def cost_monthly_fx(spark, d):
+    return _round(_rates(spark, d), "mean")
+
+
+@query(f"WITH {COSTS} SELECT month, round(green, 6) AS green, round(roasted, 6) AS roasted FROM mc")
+def cost_monthly(spark, d):
+    return _round(C.monthly_costs(_prices(spark, d), _rates(spark, d)), "green", "roasted")
+
+
+@query(f"WITH {COSTS} SELECT quarter, months_in_quarter, round(green, 6) AS green, round(roasted, 6) AS roasted FROM costs")
+def cost_quarterly(spark, d):
+    return _round(_costs(spark, d), "green", "roasted")
+
+
+@query(f"WITH {COSTS} SELECT quarter, round(roasted, 6) AS roasted, round(lag(roasted) OVER w, 6) AS roasted_lag1, round(lag(roasted, 2) OVER w, 6) AS roasted_lag2, round(lag(roasted, 3) OVER w, 6) AS roasted_lag3 FROM costs WINDOW w AS (ORDER BY quarter)")
+def cost_lags(spark, d):
+    names = ["roasted", *[f"roasted_lag{k}" for k in (1, 2, 3)]]
+    return _round(C.add_lags(_costs(spark, d), "roasted").select("quarter", *names), *names)
+
+
+@query(f"WITH {COSTS} SELECT quarter, round(roasted / (SELECT avg(roasted) FROM costs WHERE quarter IN {PRE}) * 100, 6) AS cost_index FROM costs")
+def cost_index(spark, d):
+    return _round(C.rebase(_costs(spark, d), "roasted", "cost_index").select("quarter", "cost_index"), "cost_index")
+
+
+def _old_new(spark, d):
+    m = _rates(spark, d).select("month", F.col("mean").alias("value"))
+    return m.where("month < '2025-01'"), m.where("month >= '2024-01'").withColumn("value", F.col("value") / 2)
+
+
+def _cpi(spark, d):
+    monthly = C.splice(*_old_new(spark, d))
+    return C.rebase(C.to_quarters(monthly, "value"), "value", "cpi_index").select("quarter", "cpi_index")
+
+
+CPI = f"""
+sp AS (SELECT month, mean AS value, 'old' AS series FROM rates WHERE month < '2025-01' UNION ALL
+       SELECT month, mean / 2 * (SELECT avg(mean) / avg(mean / 2) FROM rates WHERE month >= '2024-01' AND month < '2025-01'), 'new' FROM rates WHERE month >= '2024-01' AND month > (SELECT max(month) FROM rates WHERE month < '2025-01')),
+cq AS (SELECT left(month, 4) || 'Q' || ((right(month, 2)::INT + 2) // 3)::VARCHAR AS quarter, avg(value) AS v FROM sp GROUP BY 1),
+cpi AS (SELECT quarter, v / (SELECT avg(v) FROM cq WHERE quarter IN {PRE}) * 100 AS cpi_index FROM cq)"""
+
+
+@query(f"WITH {RATES}, {CPI} SELECT month, round(value, 6) AS value, series FROM sp")
+def cpi_splice(spark, d):
+    return _round(C.splice(*_old_new(spark, d)), "value")
+
+
+@query(f"WITH {RATES}, {CPI} SELECT quarter, round(cpi_index, 6) AS cpi_index FROM cpi")
+def cpi_quarterly(spark, d):
+    return _round(_cpi(spark, d), "cpi_index")
+
+
+def _pt(spark, d, loss=0.18):
+    items = _items(spark, d)
+    return PT.pass_through(X.normalise(X.chain(items)), items, _costs(spark, d, loss).select("quarter", F.col("roasted").alias("cost")))
+
+
+PASS = f"""{INDEX}, {COSTS},
+base AS (SELECT i.roaster, median(i.ppg) AS base_price FROM items i JOIN idx x ON x.roaster = i.roaster AND x.quarter = i.quarter AND x.main_segment AND x.quarter IN {PRE} GROUP BY 1),
+cl AS (SELECT left(quarter, 4)::INT * 4 + right(quarter, 1)::INT - 1 + k AS i, k, roasted AS cost FROM costs, (VALUES (0), (1), (2), (3)) t(k)),
+lagged AS (SELECT i, k::VARCHAR AS lag, cost FROM cl UNION ALL SELECT i, 'avg', avg(cost) FROM cl GROUP BY i HAVING count(*) = 4),
+m AS (SELECT x.roaster, x.quarter, l.lag, b.base_price, x.index / 100 - 1 AS rise, l.cost, (SELECT avg(roasted) FROM costs WHERE quarter IN {PRE}) AS base_cost
+      FROM idx x JOIN lagged l ON l.i = left(x.quarter, 4)::INT * 4 + right(x.quarter, 1)::INT - 1 JOIN base b ON b.roaster = x.roaster WHERE x.main_segment AND x.quarter >= '2024Q2'),
+pt AS (SELECT roaster, quarter, lag, base_price, rise * 100 AS retail_change_pct, base_price * rise AS retail_change_rs, cost - base_cost AS cost_change_rs, (cost / base_cost - 1) * 100 AS cost_change_pct,
+         base_price * rise * 100 / (cost - base_cost) AS rupee_pass_through_pct, rise * 100 / (cost / base_cost - 1) AS percent_pass_through_pct FROM m)"""
+_PT = ["base_price", "retail_change_pct", "retail_change_rs", "cost_change_rs", "cost_change_pct", "rupee_pass_through_pct", "percent_pass_through_pct"]
+_PTSQL = ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in _PT)
+
+
+@query(f"WITH RECURSIVE {PASS} SELECT roaster, quarter, lag, {_PTSQL} FROM pt")
+def pass_through(spark, d):
+    return _round(_pt(spark, d), *_PT, n=4)
+
+
+@query(f"WITH RECURSIVE {PASS} SELECT roaster, quarter, lag, {_PTSQL} FROM pt WHERE lag = 'avg' QUALIFY row_number() OVER (PARTITION BY roaster ORDER BY quarter DESC) = 1")
+def pass_through_headline(spark, d):
+    return _round(PT.headline(_pt(spark, d)), *_PT, n=4)
+
+
+@query()
+def pass_through_losses(spark, d):
+    """The headline at three roast losses side by side."""
+    parts = [PT.headline(_pt(spark, d, x)).select("roaster", F.lit(f"loss_{round(x * 100)}").alias("loss"), "rupee_pass_through_pct") for x in (0.15, 0.18, 0.20)]
+    wide = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("roaster").pivot("loss", ["loss_15", "loss_18", "loss_20"]).agg(F.first("rupee_pass_through_pct"))
+    return _round(wide, "loss_15", "loss_18", "loss_20", n=4)
+
+
+@query(f"""WITH RECURSIVE {PASS}, {CPI},
+h AS (SELECT * FROM pt WHERE lag = 'avg' QUALIFY row_number() OVER (PARTITION BY roaster ORDER BY quarter DESC) = 1)
+SELECT roaster, h.quarter, round(base_price * (cpi_index / 100 - 1), 4) AS inflation_part, round(retail_change_rs - base_price * (cpi_index / 100 - 1), 4) AS real_change,
+  round((retail_change_rs - base_price * (cpi_index / 100 - 1)) * 100 / cost_change_rs, 4) AS real_pass_through_pct FROM h LEFT JOIN cpi ON cpi.quarter = h.quarter""")
+def deflate(spark, d):
+    names = ["inflation_part", "real_change", "real_pass_through_pct"]
+    return _round(C.deflate(PT.headline(_pt(spark, d)), _cpi(spark, d)).select("roaster", "quarter", *names), *names, n=4)
+
+
+@query()
+def distributed_lag(spark, d):
+    items = _items(spark, d)
+    fit = PT.distributed_lag(X.chain(items), _costs(spark, d).select("quarter", F.col("roasted").alias("cost")))
+    return _round(fit.where("term like 'dcost%' or term = 'sum'").select("term", "coef", "se", "ci_low", "ci_high", "n"), "coef", "se", "ci_low", "ci_high")
+
+
+@query(f"WITH {ITEMS} SELECT round(regr_intercept(ln(ppg), ln(size_grams)), 6) AS const, round(regr_slope(ln(ppg), ln(size_grams)), 6) AS ln_size, regr_count(ln(ppg), ln(size_grams))::BIGINT AS n, round(regr_r2(ln(ppg), ln(size_grams)), 6) AS r2 FROM items")
+def ols_hc1(spark, d):
+    fit = R.ols(_items(spark, d).select(F.ln("ppg").alias("y"), F.array(F.lit(1.0), F.ln("size_grams")).alias("x")), ["const", "ln_size"])
+    return _round(fit.groupBy("n", "r2").pivot("term", ["const", "ln_size"]).agg(F.first("coef")), "const", "ln_size", "r2")
+
+
+@query(f"""WITH {ITEMS}, z AS (SELECT ln(ppg) AS y, ln(size_grams) AS x, roaster AS g FROM items),
+b AS (SELECT regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0, avg(x) AS mx, regr_sxx(y, x) AS sxx, count(*) AS n FROM z),
+s AS (SELECT g, sum((x - mx) * (y - b0 - b1 * x)) AS s FROM z, b GROUP BY g)
+SELECT 'ln_size' AS term, round(any_value(b1), 6) AS coef, round(sqrt(sum(s * s) * count(*) / (count(*) - 1) * (any_value(n) - 1) / (any_value(n) - 2)) / any_value(sxx), 6) AS se FROM s, b""")
+def ols_cluster(spark, d):
+    fit = R.ols(_items(spark, d).select(F.ln("ppg").alias("y"), F.array(F.lit(1.0), F.ln("size_grams")).alias("x"), F.col("roaster").alias("cluster")), ["const", "ln_size"], cluster=True)
+    return _round(fit.where("term = 'ln_size'").select("term", "coef", "se"), "coef", "se")
+
+
+def _attributed(spark, d):
+    rows = P.analysis_rows(_panel(spark, d)).withColumn("product_key", F.col("product_id"))
+    return rows.withColumn("source", F.col("size_source"))
+
+
+@query(f"""WITH {ROWS}, l AS (SELECT coalesce(size_source, 'unknown') AS level, count(*) AS n, count(DISTINCT product_id) AS p FROM fit GROUP BY 1)
+SELECT CASE WHEN level <> 'variant_title' AND (n < 20 OR p < 5) THEN 'too_few' ELSE level END AS source, sum(n)::BIGINT AS n_obs FROM l GROUP BY 1""")
+def hedonic_counts(spark, d):
+    return R.fold_small(_attributed(spark, d), "source", "product_key", "variant_title").groupBy("source").agg(F.count(F.lit(1)).alias("n_obs"))
+
+
+@query()
+def hedonic_fit(spark, d):
+    """Coefficients of size and of where the size was found, with roaster and quarter dummies."""
+    fit = R.hedonic(_attributed(spark, d), {"source": "variant_title"})
+    return _round(fit.where("term = 'ln_size' or term like 'source%'").select("term", "coef", "se", "effect_pct", "n"), "coef", "se", "effect_pct")
