@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from panelwright.config import CONFIG
 from panelwright.functions.ids import quarter_index
-from panelwright.operators.regression import ols
+from panelwright.operators.regression import ols, within
 
 
 def _lagged(costs: DataFrame, lags: tuple[int, ...]) -> DataFrame:
@@ -44,7 +44,7 @@ def headline(rows: DataFrame) -> DataFrame:
 
 
 def distributed_lag(index: DataFrame, costs: DataFrame, *, lags: tuple[int, ...] = CONFIG.lags) -> DataFrame:
-    """Regression of log price changes between consecutive quarters of a segment on log cost changes over the same span at each lag, with a dummy per roaster: term, coef, se, ci_low, ci_high, and their sum."""
+    """Regression of log price changes between consecutive quarters of a segment on log cost changes over the same span at each lag, with a fixed effect per roaster: term, coef, se, ci_low, ci_high, and their sum."""
     w = W.partitionBy("roaster", "segment").orderBy("quarter")
     steps = index.select("roaster", F.ln("raw_level").alias("y1"), F.lag(F.ln("raw_level")).over(w).alias("y0"), quarter_index(F.col("quarter")).alias("i1"), F.lag(quarter_index(F.col("quarter"))).over(w).alias("i0")).where("y0 is not null")
     at = costs.where("cost > 0").select(quarter_index(F.col("quarter")).alias("ci"), F.ln("cost").alias("lc"))
@@ -52,9 +52,7 @@ def distributed_lag(index: DataFrame, costs: DataFrame, *, lags: tuple[int, ...]
         for end in ("0", "1"):
             side = at.select((F.col("ci") + k).alias(f"i{end}"), F.col("lc").alias(f"c{k}_{end}"))
             steps = steps.join(side, f"i{end}")
-    # the sellers of the index are as many as it has chains; a dummy for each is the model
-    sellers = [r[0] for r in steps.select("roaster").distinct().orderBy("roaster").collect()]
     names = [f"dcost_lag{k}" for k in lags]
-    x = [F.lit(1.0), *[F.col(f"c{k}_1") - F.col(f"c{k}_0") for k in lags], *[F.col("roaster").eqNullSafe(F.lit(s)).cast("double") for s in sellers[1:]]]
-    fit = ols(steps.select((F.col("y1") - F.col("y0")).alias("y"), F.array(*x).alias("x")), ["const", *names, *[f"roaster_{s}" for s in sellers[1:]]], total=names)
-    return fit
+    x = F.array(*[F.col(f"c{k}_1") - F.col(f"c{k}_0") for k in lags])
+    less, sellers = within(steps.select((F.col("y1") - F.col("y0")).alias("y"), x.alias("x"), "roaster"), "roaster", len(names))
+    return ols(less, names, total=names, absorbed=sellers)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.config import CONFIG
+from panelwright.session import Scratch
 
 _RESULT = "term string, coef double, se double, ci_low double, ci_high double, p double, n long, r2 double"
 
@@ -32,11 +33,22 @@ def _cells(values: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["cell", "v"])
 
 
-def ols(rows: DataFrame, terms: list[str], *, cluster: bool = False, total: list[str] | None = None, z: float = CONFIG.z95) -> DataFrame:
+def within(rows: DataFrame, effect: str, k: int) -> tuple[DataFrame, int]:
+    """(rows with y and x less their means in each group of `effect`, number of groups): the regression on these has the coefficients of one with a dummy per group."""
+    scratch = Scratch(rows.sparkSession, "within")
+    # the rows are read several times from here on: they are computed once
+    rows, _ = scratch.write(rows.where(F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))))
+    means = rows.groupBy(F.col(effect).alias("__e")).agg(F.avg("y").alias("__y"), F.array(*[F.avg(F.col("x")[i]) for i in range(k)]).alias("__x"))
+    means, seen = scratch.write(means)
+    less = rows.join(means, F.col(effect).eqNullSafe(F.col("__e")))
+    return less.withColumns({"y": F.col("y") - F.col("__y"), "x": F.zip_with("x", "__x", lambda a, b: a - b)}).drop("__e", "__y", "__x"), seen["rows"]
+
+
+def ols(rows: DataFrame, terms: list[str], *, cluster: bool = False, total: list[str] | None = None, absorbed: int = 0, z: float = CONFIG.z95) -> DataFrame:
     """term, coef, se, ci_low, ci_high, p, n, r2 of the regression of y on the array x (one entry per term).
 
     Standard errors are HC1, or with `cluster` (a column of that name) CR1. `total` adds a row
-    `sum` of some coefficients. One pass gives X'X and X'y, a second one the middle of the sandwich; only
+    `sum` of some coefficients; `absorbed` is the number of dummies taken out by within(). One pass gives X'X and X'y, a second one the middle of the sandwich; only
     these k x k sums reach the driver, where a pseudo-inverse copes with redundant dummies. Rows with a
     null y or x entry are left out; no rows give no terms.
     """
@@ -77,7 +89,7 @@ def ols(rows: DataFrame, terms: list[str], *, cluster: bool = False, total: list
 
         got = _summed(sums.select("x").mapInArrow(outer, "cell long, v double"), k * k + 1)
         g = got[-1]
-        scale = g / max(g - 1, 1) * (n - 1) / max(n - k, 1)
+        scale = g / max(g - 1, 1) * (n - 1) / max(n - k - absorbed, 1)
     else:
         def meat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total_ = np.zeros((k, k))
@@ -88,7 +100,7 @@ def ols(rows: DataFrame, terms: list[str], *, cluster: bool = False, total: list
             yield _cells(total_)
 
         got = _summed(rows.select("x", "y").mapInArrow(meat, "cell long, v double"), k * k)
-        scale = n / max(n - k, 1)
+        scale = n / max(n - k - absorbed, 1)
     cov = scale * bread @ got[: k * k].reshape(k, k) @ bread
     xy, yy, mean = m[k * k : k * k + k], m[-2], m[-3] / n
     rss, tss = yy - 2 * beta @ xy + beta @ m[: k * k].reshape(k, k) @ beta, yy - n * mean * mean
@@ -110,22 +122,22 @@ def fold_small(rows: DataFrame, attribute: str, product: str, baseline: str, *,
     return out.withColumn(attribute, F.when(F.col("small"), F.lit("too_few")).otherwise(F.col("level"))).drop("level", "small")
 
 
-def hedonic(rows: DataFrame, attributes: dict[str, str], product: str = "product_key", absorb: tuple[str, ...] = ("roaster", "quarter")) -> DataFrame:
-    """Log price per gram on log size, the attributes' levels (each against its baseline) and dummies for `absorb`; errors clustered by product.
+def hedonic(rows: DataFrame, attributes: dict[str, str], product: str = "product_key", absorb: str = "roaster", periods: str = "quarter") -> DataFrame:
+    """Log price per gram on log size, the attributes' levels (each against its baseline), period dummies and a fixed effect of `absorb`; errors clustered by product.
 
-    Adds effect_pct, the effect of a term in percent. The dummies of roasters and quarters are taken out by
-    regressing within their cells when there are many; here they enter as columns, one per level.
+    Adds effect_pct, the effect of a term in percent. The fixed effect is taken out within its groups, so the
+    number of columns depends on levels and periods only.
     """
     base = rows.where("ppg > 0 and size_grams > 0")
     for a, baseline in attributes.items():
         base = fold_small(base, a, product, baseline)
-    x: list[Column] = [F.lit(1.0), F.ln("size_grams")]
-    terms = ["const", "ln_size"]
-    for a in (*attributes, *absorb):
+    x: list[Column] = [F.ln("size_grams")]
+    terms = ["ln_size"]
+    for a in (*attributes, periods):
         levels = [r[0] for r in base.select(a).distinct().orderBy(a).collect() if r[0] is not None]  # levels are model columns
         for v in levels:
             if v != (attributes[a] if a in attributes else levels[0]):
                 x.append(F.col(a).eqNullSafe(F.lit(v)).cast("double"))
                 terms.append(f"{a}_{v}")
-    fit = ols(base.select(F.ln("ppg").alias("y"), F.array(*x).alias("x"), F.col(product).alias("cluster")), terms, cluster=True)
-    return fit.withColumn("effect_pct", (F.exp("coef") - 1) * 100)
+    less, groups = within(base.select(F.ln("ppg").alias("y"), F.array(*x).alias("x"), F.col(product).alias("cluster"), F.col(absorb).alias("effect")), "effect", len(terms))
+    return ols(less, terms, cluster=True, absorbed=groups).withColumn("effect_pct", (F.exp("coef") - 1) * 100)

@@ -99,6 +99,20 @@ def test_ols_matches_numpy(spark):
     assert R.ols(df.where("false"), ["c", "a", "b"]).count() == 0
 
 
+def test_within_equals_dummies(spark):
+    rng = np.random.default_rng(2)
+    g = np.repeat(np.arange(6), [30, 10, 10, 5, 5, 20])
+    x = rng.normal(size=(80, 2)) + g[:, None]
+    y = x @ [2.0, -1.0] + 3 * g + rng.normal(size=80)
+    df = spark.createDataFrame([(float(b), [float(v) for v in a], int(c), int(c) % 5 + 10 * (i % 7)) for i, (a, b, c) in enumerate(zip(x, y, g))], "y double, x array<double>, g long, cluster long")
+    dummies = df.withColumn("x", F.concat("x", F.array(*[(F.col("g") == k).cast("double") for k in range(6)])))
+    for cluster in (False, True):
+        full = {r["term"]: r for r in R.ols(dummies, ["a", "b", *"123456"], cluster=cluster).collect()}
+        less, n = R.within(df, "g", 2)
+        for r in R.ols(less, ["a", "b"], cluster=cluster, absorbed=n).collect():
+            assert r["coef"] == pytest.approx(full[r["term"]]["coef"]) and r["se"] == pytest.approx(full[r["term"]]["se"])
+
+
 def panel(spark, rows):
     return spark.createDataFrame([("s", v, q, p, "archive", False) for v, q, p in rows], "roaster string, variant_id string, quarter string, price_inr double, source_type string, served_outside_quarter boolean")
 
