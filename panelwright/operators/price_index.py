@@ -80,3 +80,10 @@ def step_timing(index: DataFrame, start: str = CONFIG.shock_start) -> DataFrame:
     span = quarter_index(F.col("quarter")) - quarter_index(F.col("linked_from"))
     earliest = F.greatest(F.lit(0), quarter_index(F.col("linked_from")) - quarter_index(F.lit(start)) + 1)
     return got.select("roaster", "quarter", "linked_from", span.alias("span"), "link_change_pct", "index_before", F.col("index").alias("index_after"), earliest.alias("earliest"), (quarter_index(F.col("quarter")) - quarter_index(F.lit(start))).alias("latest"))
+
+
+def period_index(chained: DataFrame) -> DataFrame:
+    """Adds index, with the first period of each segment as 100, and main_segment, the one of the roaster's last period."""
+    w = W.partitionBy("roaster", "segment").orderBy("quarter").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    last = F.max_by("segment", "quarter").over(W.partitionBy("roaster"))
+    return chained.withColumn("index", F.col("raw_level") / F.first("raw_level").over(w) * 100).withColumn("main_segment", F.col("segment") == last)

@@ -54,7 +54,9 @@ def ols(rows: DataFrame, terms: list[str], *, cluster: bool = False, total: list
     """
     k = len(terms)
     spark = rows.sparkSession
-    rows = rows.where(F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    kept = ["y", "x", *["cluster"] * cluster]
+    # two passes read the rows: they are computed once
+    rows, _ = Scratch(spark, "ols").write(rows.where(F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))).select(*kept))
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total_ = np.zeros(k * k + k + 3)

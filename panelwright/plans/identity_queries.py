@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelwright.functions import text as X
 from panelwright.functions.ids import digits_id
 from panelwright.operators import identity as I
 from panelwright.operators import levers as L
+from panelwright.operators import pages as PG
 from panelwright.operators import price_index as PI
 from panelwright.operators import validation as V
-from panelwright.plans.panel_queries import INDEX, PANEL, PRE, _items, _panel, _round, _t
+from panelwright.plans.panel_queries import CHAIN, INDEX, PANEL, PRE, _items, _panel, _round, _t
 from panelwright.session import Scratch
 from panelwright.sources import readers as S
 from panelwright.streaming import tracker as T
@@ -189,3 +191,55 @@ def stream_snapshots(spark, d):
         stream = spark.readStream.schema(source.schema).parquet(f"{scratch.root}/0")
         T.run_tracker(spark, stream, f"{scratch.root}/table", ["roaster", "day"], f"{scratch.root}/{state}").awaitTermination()
     return spark.read.parquet(f"{scratch.root}/table")
+
+
+@query(f"""WITH {PANEL}, x AS (SELECT * FROM panel WHERE product_id IS NOT NULL),
+p AS (SELECT roaster, product_id, quarter, max(product_title) AS title, max(product_type) AS kind FROM x GROUP BY ALL),
+s AS (SELECT roaster, product_id, arg_max(title, quarter) FILTER (WHERE title IS NOT NULL) AS product_title, arg_max(kind, quarter) FILTER (WHERE kind IS NOT NULL) AS product_type, min(quarter) AS first_quarter, max(quarter) AS last_quarter, count(*) AS n_quarters, count(DISTINCT title) AS n_titles FROM p GROUP BY ALL),
+v AS (SELECT roaster, product_id, string_agg(variant_title, ' | ' ORDER BY q, variant_title) AS variant_titles FROM (SELECT roaster, product_id, variant_title, min(quarter) AS q FROM x WHERE variant_title <> '' GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT roaster, product_id, count(*) FILTER (WHERE is_coffee_guess) AS y, count(*) FILTER (WHERE NOT is_coffee_guess) AS n, coalesce(bool_or(is_bundle), false) AS any_bundle FROM x GROUP BY ALL)
+SELECT roaster, product_id, product_title, coalesce(variant_titles, '') AS variant_titles, product_type, CASE WHEN y + n > 0 THEN y > n END AS guess, any_bundle, first_quarter, last_quarter, n_quarters FROM s JOIN g USING (roaster, product_id) LEFT JOIN v USING (roaster, product_id)""")
+def product_build(spark, d):
+    return PG.products(_panel(spark, d).where("product_id is not null")).drop("other_titles")
+
+
+@query("""WITH c AS (SELECT roaster, left(served_ts, 8) AS s FROM coverage_report WHERE regexp_matches(served_ts, '^[0-9]{8}')), q AS (SELECT roaster, year(t) || 'Q' || quarter(t) AS q, t FROM (SELECT roaster, try_strptime(s, '%Y%m%d') AS t FROM c) WHERE t IS NOT NULL)
+SELECT roaster, count(*) FILTER (WHERE q = '2024Q1') AS "2024Q1", count(*) FILTER (WHERE q = '2024Q2') AS "2024Q2", (count(*) FILTER (WHERE q = '2024Q1') > 0)::INT + (count(*) FILTER (WHERE q = '2024Q2') > 0)::INT AS quarters_covered, strftime(min(t), '%Y-%m-%d') AS earliest FROM q GROUP BY 1""")
+def capture_calendar(spark, d):
+    c = _t(spark, d, "coverage_report").where("served_ts rlike '^[0-9]{8}'")
+    return PG.capture_calendar(c, "served_ts", ["2024Q1", "2024Q2"])
+
+
+_SLUG = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+@query(f"""WITH h AS (SELECT DISTINCT roaster, {_SLUG.format("split_part(after_title, '|', 1)")} AS handle FROM match_candidates), p AS (SELECT DISTINCT roaster, {_SLUG.format('before_title')} AS slug FROM match_candidates UNION SELECT roaster, {_SLUG.format('after_title')} FROM match_candidates),
+n AS (SELECT p.roaster, p.slug, count(*) AS c, min(handle) AS handle FROM p JOIN h ON h.roaster = p.roaster AND h.handle <> '' AND (starts_with(h.handle, p.slug || '-') OR starts_with(p.slug, h.handle || '-')) GROUP BY ALL)
+SELECT p.roaster, p.slug, coalesce(h.handle, n.handle) AS handle, CASE WHEN h.handle IS NOT NULL THEN 'exact' WHEN n.handle IS NOT NULL THEN 'prefix' ELSE 'unmapped' END AS handle_source
+FROM p LEFT JOIN h ON h.roaster = p.roaster AND h.handle = p.slug LEFT JOIN n ON n.roaster = p.roaster AND n.slug = p.slug AND n.c = 1""")
+def match_handles(spark, d):
+    m = _t(spark, d, "match_candidates")
+    h = m.select("roaster", X.slugify(F.split("after_title", r"\|").getItem(0)).alias("handle")).where("handle <> ''").distinct()
+    p = m.select("roaster", X.slugify(F.col("before_title")).alias("slug")).union(m.select("roaster", X.slugify(F.col("after_title")))).distinct()
+    return PG.match_handles(p, h, "roaster", "slug").select("roaster", "slug", "handle", "handle_source")
+
+
+@query()
+def card_snippets(spark, d):
+    """Cards of a page made of each pair's two titles."""
+    m = _t(spark, d, "match_candidates")
+    pages = m.select("pair_ref", F.concat_ws(" notes of cocoa 250g ", "before_title", "after_title", F.lit("end")).alias("text"))
+    titles = m.select("pair_ref", F.lit("b").alias("product_id"), F.col("before_title").alias("product_title")).union(m.select("pair_ref", F.lit("a"), "after_title"))
+    return PG.card_snippets(pages, titles, "pair_ref", "text")
+
+
+@query()
+def page_variant_sizes(spark, d):
+    """Sizes of the variants that captured pages detail."""
+    return PG.variant_sizes(_t(spark, d, "page_payloads"), "payload_id", "payload").distinct()
+
+
+@query(f"""WITH RECURSIVE {CHAIN}, s AS (SELECT roaster, segment, arg_min(raw_level, quarter) AS base FROM walk GROUP BY ALL), l AS (SELECT roaster, arg_max(segment, quarter) AS seg FROM walk GROUP BY 1)
+SELECT w.roaster, w.quarter, w.segment::INT AS segment, round(raw_level / base * 100, 6) AS index, w.segment = l.seg AS main_segment FROM walk w JOIN s USING (roaster, segment) JOIN l USING (roaster)""")
+def tracker_index(spark, d):
+    return _round(PI.period_index(PI.chain(_items(spark, d))), "index").select("roaster", "quarter", "segment", "index", "main_segment")
