@@ -16,7 +16,7 @@ LEAST = 15
 #: Words of an anchor; each holds a name or figure of its item.
 ANCHOR = 3
 #: Share of an item's names and figures, within the part that a text has of it, that must be its own.
-OWN = 0.75
+OWN = 0.6
 #: Words between two parts of an item (other sentences may stand there), and around an anchor.
 REACH = 120
 #: A part without a name or figure counts if it is this close to one that counts, or this long.
