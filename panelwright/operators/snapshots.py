@@ -13,7 +13,33 @@ SPACE = 1 << 16
 BITS = 64
 
 
-def snapshot_changes(rows: DataFrame, source: Column, key: Column, period: Column, version: Column, value: Column, *, tolerance: float = 0.005, space: int = SPACE) -> DataFrame:
+def _numbered(held: DataFrame, dictionary: DataFrame | None) -> DataFrame:
+    """held (s, k, sp, ..) with each key's ordinal o in its space: as the dictionary has it, else the next free ones in order of the keys."""
+    w = W.partitionBy("s", "sp").orderBy("k")
+    if dictionary is None:
+        return held.withColumn("o", F.row_number().over(w) - 1)
+    known = dictionary.select(F.col("source").alias("ds"), F.col("key").alias("dk"), F.col("space").alias("dsp"), F.col("ordinal").cast("int").alias("do"))
+    at = held.join(known, F.col("s").eqNullSafe(F.col("ds")) & (F.col("k") == F.col("dk")), "left")
+    free = known.groupBy(F.col("ds").alias("fs"), F.col("dsp").alias("fsp")).agg((F.max("do") + 1).alias("free"))
+    old = at.where("do is not null").select(*[c for c in held.columns if c != "sp"], F.col("dsp").alias("sp"), F.col("do").alias("o"))
+    new = at.where("do is null").select(*held.columns).join(free, F.col("s").eqNullSafe(F.col("fs")) & (F.col("sp") == F.col("fsp")), "left")
+    return old.unionByName(new.select(*held.columns, (F.row_number().over(w) - 1 + F.coalesce("free", F.lit(0))).alias("o")))
+
+
+def key_ordinals(rows: DataFrame, source: Column, key: Column, dictionary: DataFrame | None = None, *, space: int = SPACE) -> DataFrame:
+    """source, key, space, ordinal of all keys of `rows` and of the dictionary, which keeps its own: to be stored and given to the next run."""
+    keys = rows.select(source.alias("s"), key.alias("k")).where("k is not null").distinct()
+    sizes = keys.groupBy(F.col("s").alias("ps")).agg(F.ceil(F.count(F.lit(1)) / space).alias("spaces"))
+    held = keys.join(sizes, F.col("s").eqNullSafe(F.col("ps"))).select("s", "k", F.pmod(F.xxhash64("k"), F.col("spaces")).alias("sp"))
+    named = _numbered(held, dictionary).select(F.col("s").alias("source"), F.col("k").alias("key"), F.col("sp").alias("space"), F.col("o").alias("ordinal"))
+    if dictionary is None:
+        return named
+    a, b = dictionary.alias("a"), named.alias("b")
+    gone = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.key") == F.col("b.key")), "left_anti")
+    return named.unionByName(gone.select("source", "key", "space", F.col("ordinal").cast("int").alias("ordinal")))
+
+
+def snapshot_changes(rows: DataFrame, source: Column, key: Column, period: Column, version: Column, value: Column, *, tolerance: float = 0.005, space: int = SPACE, dictionary: DataFrame | None = None) -> DataFrame:
     """Records added, removed or changed between each snapshot of a source and its next.
 
     rows: all snapshots; a source's snapshots are the periods in which it has rows, in order. Of the rows
@@ -21,7 +47,8 @@ def snapshot_changes(rows: DataFrame, source: Column, key: Column, period: Colum
     not null. Returns source, key, period (of the later snapshot) and change_kind: `added`, `removed`, or
     `changed` where the value differs by `tolerance` or more, or is null on one side only.
 
-    The keys of a source get dense ordinals within spaces of about `space` keys. A snapshot is then, per
+    The keys of a source get dense ordinals within spaces of about `space` keys; those of a stored
+    dictionary (see key_ordinals) persist, so that bitmaps of several runs can be compared. A snapshot is then, per
     space, a sparse bitmap of 64-bit words with a vector of values per word, aligned by ordinal. Additions
     are `cur AND NOT prev`, removals `prev AND NOT cur`, changes come from the vectors where both bits are
     set. Rows are shuffled by source and key, so that a source with most of the rows is spread; words are
@@ -44,7 +71,7 @@ def snapshot_changes(rows: DataFrame, source: Column, key: Column, period: Colum
 
     held = keys.where("k is not null").join(profile, F.col("s").eqNullSafe(F.col("ps")))
     held = held.select("s", "k", "at", "snaps", F.pmod(F.xxhash64("k"), F.greatest("spaces", F.lit(1))).alias("sp"))
-    numbered = held.withColumn("o", F.row_number().over(W.partitionBy("s", "sp").orderBy("k")) - 1)
+    numbered = _numbered(held, dictionary)
 
     word, bit = F.floor(F.col("o") / BITS).cast("int"), F.col("o") % BITS
     cells = numbered.select("s", "sp", word.alias("w"), bit.alias("b"), "k", "snaps", F.explode("at").alias("a"))

@@ -8,7 +8,7 @@ import __spark_entry__
 from panelwright.operators import spikes
 from panelwright.operators.nested import decode, flatten, holder_rows
 from panelwright.operators.regular_grid import read_timestamp, regular_grid
-from panelwright.operators.snapshots import snapshot_changes
+from panelwright.operators.snapshots import key_ordinals, snapshot_changes
 from panelwright.operators.spikes import flag_spikes
 from panelwright.operators.units import bare_numbers, common_grams, written_grams
 
@@ -69,6 +69,17 @@ def test_snapshots_against_brute_force(spark):
     assert changes(spark, rows, space=16) == brute_changes(rows)
 
 
+def test_ordinals_persist(spark):
+    rows = [(s, f"k{k}", q, "1", float(k % 3 + i), "", "") for i, q in enumerate(("2024Q1", "2024Q2")) for s in ("a", "b", None) for k in range(40) if (k + i) % 4]
+    more = rows + [(s, f"k{k}", "2024Q3", "1", 1.0, "", "") for s in ("a", "new", None) for k in range(20, 70)]
+    keyed = lambda r, d=None: key_ordinals(spark.createDataFrame(r, SNAP), F.col("s"), F.col("k"), d, space=16)
+    first = keyed(rows)
+    second = keyed(more, first)
+    old, new = ({(r["source"], r["key"]): (r["space"], r["ordinal"]) for r in d.collect()} for d in (first, second))
+    assert old.items() <= new.items() and len({(k[0], v) for k, v in new.items()}) == len(new) == len({(r[0], r[1]) for r in more})
+    assert changes(spark, more, dictionary=first, space=16) == changes(spark, more, dictionary=second) == brute_changes(more)
+
+
 def test_snapshots_edges(spark):
     assert changes(spark, []) == set()
     assert changes(spark, [("a", "k", "2024Q1", "1", 1.0, "", "")]) == set()
