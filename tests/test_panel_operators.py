@@ -158,9 +158,9 @@ def test_identity(spark):
     assert {(r["before_id"], r["after_id"], r["method"]) for r in got.collect()} == {("1", "3", "exact_title"), ("2", "4", "similar")}
     pairs = spark.createDataFrame([("s", "1", "2", "linked"), ("s", "1", "3", "linked"), ("s", "4", "5", "linked")], "roaster string, before_id string, after_id string, status string")
     assert [r["status"] for r in I.resolve_conflicts(pairs).orderBy("before_id", "after_id").collect()] == ["conflict", "conflict", "linked"]
-    products = spark.createDataFrame([("Grey Soul", str(i), f"2024Q{i}") for i in (1, 2, 3, 4)] + [("Grey Soul", "9", "2023Q1")], "roaster string, product_id string, first_quarter string")
-    links = spark.createDataFrame([("Grey Soul", "1", "2"), ("Grey Soul", "2", "3"), ("Grey Soul", "3", "9")], "roaster string, before_id string, after_id string")
-    assert {r["product_id"]: r["product_key"] for r in I.product_keys(products, links).collect()} == {"1": "grey-soul:9", "2": "grey-soul:9", "3": "grey-soul:9", "9": "grey-soul:9", "4": "grey-soul:4"}
+    products = spark.createDataFrame([("Blue Hill", str(i), f"2024Q{i}") for i in (1, 2, 3, 4)] + [("Blue Hill", "9", "2023Q1")], "roaster string, product_id string, first_quarter string")
+    links = spark.createDataFrame([("Blue Hill", "1", "2"), ("Blue Hill", "2", "3"), ("Blue Hill", "3", "9")], "roaster string, before_id string, after_id string")
+    assert {r["product_id"]: r["product_key"] for r in I.product_keys(products, links).collect()} == {"1": "blue-hill:9", "2": "blue-hill:9", "3": "blue-hill:9", "9": "blue-hill:9", "4": "blue-hill:4"}
 
 
 def test_validation(spark):

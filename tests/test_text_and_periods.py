@@ -40,13 +40,13 @@ def test_parse_size(spark, text, size):
 
 
 def test_resolve_size_multiplies_packs(spark):
-    got = one(spark, X.resolve_size(F.lit("200g"), F.lit("Skia Coffee (Pack of 2)")))
+    got = one(spark, X.resolve_size(F.lit("200g"), F.lit("Nova Coffee (Pack of 2)")))
     assert (got["grams"], got["multipack"], got["source"]) == (400.0, True, "variant_title")
     none = one(spark, X.resolve_size(F.lit(None).cast("string"), F.lit("House")))
     assert none["grams"] is None and none["source"] == ""
 
 
-@pytest.mark.parametrize("title, bundle", [("Sampler of four", True), ("Coffees (Pack of 3)", True), ("Skia Coffee (Pack of 2)", False), ("5-in-1", True), ("Trio", True), (None, False)])
+@pytest.mark.parametrize("title, bundle", [("Sampler of four", True), ("Coffees (Pack of 3)", True), ("Nova Coffee (Pack of 2)", False), ("5-in-1", True), ("Trio", True), (None, False)])
 def test_is_bundle(spark, title, bundle):
     assert one(spark, X.is_bundle(F.lit(title).cast("string"))) is bundle
 
