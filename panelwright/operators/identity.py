@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -10,6 +15,9 @@ from panelwright.config import CONFIG
 from panelwright.functions import text as X
 from panelwright.session import Scratch
 
+#: Products in a block before and after a break. Up to FEW titles are scored without bounds first, which is quicker.
+BLOCK_BEFORE, BLOCK_AFTER, FEW = 256, 2048, 24
+
 
 def title_segments(titles: DataFrame) -> DataFrame:
     """roaster, product_id, quarter, segment, product_key, segment_start: runs of a product id's titles (one per quarter) that mean the same product.
@@ -49,27 +57,88 @@ def exact_pairs(before: DataFrame, after: DataFrame) -> DataFrame:
     return numbered(before, "before_id").join(numbered(after, "after_id"), ["roaster", "break_quarter", "norm", "nth"]).select("roaster", "break_quarter", "before_id", "after_id")
 
 
+def _possible(a: str, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The greatest ratio to `a` that each string can have: 2 * longest common subsequence / both lengths, as matching blocks form such a subsequence.
+
+    codes: a row of bytes per place, the strings' lengths falling. One bit per letter of `a`, in words of 64.
+    """
+    words = -(-len(a) // 64)
+    masks = np.zeros((words, 256), np.uint64)
+    for i, c in enumerate(a.encode()):
+        masks[i >> 6, c] |= np.uint64(1 << (i & 63))
+    v = np.full((words, len(lengths)), ~np.uint64(0))
+    longer = np.searchsorted(-lengths, -np.arange(len(codes)))
+    for column, n in zip(codes, longer):
+        carry = np.zeros(n, np.uint64)
+        for w in range(words):
+            old = v[w, :n]
+            u = old & masks[w][column[:n]]
+            plain = old + u
+            both = plain + carry
+            carry = ((plain < u) | (both < carry)).astype(np.uint64)
+            v[w, :n] = both | (old - u)
+    common = np.zeros(len(lengths))
+    for w in range(words):
+        common += np.bitwise_count(~v[w] & np.uint64((1 << min(64, len(a) - 64 * w)) - 1))
+    total = lengths + len(a)
+    return np.where(total > 0, 2.0 * common / np.maximum(total, 1), 1.0)
+
+
+def _best(least: float, top: int):
+    """The `top` most similar titles after of each title before, within the blocks of a batch. A pair is left unscored only if it can't be among them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        match = difflib.SequenceMatcher(None)
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                after = sorted(((x["id"], x["norm"]) for x in r.after), key=lambda x: -len(x[1]))
+                lengths = np.array([len(x[1]) for x in after])
+                many = len(after) > FEW
+                if many:
+                    codes = np.zeros((lengths[0], len(after)), np.uint8)
+                    for i, x in enumerate(after):
+                        codes[: lengths[i], i] = np.frombuffer(x[1].encode(), np.uint8)
+                for x in r.before:
+                    bound = _possible(x["norm"], codes, lengths) if many else np.ones(len(after))
+                    found: list[tuple[float, str]] = []
+                    match.set_seq1(x["norm"])
+                    for i in np.argsort(-bound, kind="stable"):
+                        if bound[i] < (found[-1][0] if len(found) == top else least):
+                            break
+                        match.set_seq2(after[i][1])
+                        ratio = match.ratio()
+                        if ratio >= least:
+                            found = sorted([*found, (ratio, after[i][0])], reverse=True)[:top]
+                    out += [(r.roaster, r.break_quarter, x["id"], i, q, round(q, 3)) for q, i in found]
+            yield pd.DataFrame(out, columns=["roaster", "break_quarter", "before_id", "after_id", "ratio", "similarity"])
+
+    return run
+
+
 def candidate_pairs(before: DataFrame, after: DataFrame, least: float = CONFIG.min_similarity, top: int = CONFIG.top_k) -> DataFrame:
     """roaster, break_quarter, before_id, after_id, similarity, method: exact pairs, and for each other product before the `top` most similar ones after, at `least` similar.
 
-    Titles meet through the two rarest words of each: titles that share neither are not compared, and a
-    ratio of `least` over shared letters alone is not looked for. Ties go to the greater id.
+    Every pair of a break counts. Both sides are cut into blocks by id, each pair of blocks is a row of its own,
+    and its best are found with an upper bound of the ratio. Ties go to the greater id.
     """
     keys = ["roaster", "break_quarter"]
+    side = lambda df, first: df.select(*keys, "product_id", "product_title", F.lit(first).alias("first"))
+    sides, _ = Scratch(before.sparkSession, "sides").write(side(before, True).unionByName(side(after, False)))
+    before, after = (sides.where(F.col("first") == first).drop("first") for first in (True, False))
     exact = exact_pairs(before, after)
-    b = before.join(exact.select(*keys, F.col("before_id").alias("product_id")), [*keys, "product_id"], "left_anti")
-    a = after.join(exact.select(*keys, F.col("after_id").alias("product_id")), [*keys, "product_id"], "left_anti")
-    words = lambda df, name: df.select(*keys, F.col("product_id").alias(name), F.col("product_title").alias(f"{name}_title"), F.explode(X.title_words(F.col("product_title"))).alias("word"))
-    wb, wa = words(b, "before_id"), words(a, "after_id")
-    df = wb.select(*keys, "word").unionByName(wa.select(*keys, "word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("df"))
-
-    def rare(w: DataFrame, name: str) -> DataFrame:
-        ranked = w.join(df, [*keys, "word"]).withColumn("r", F.row_number().over(W.partitionBy(*keys, name).orderBy("df", "word")))
-        return ranked.where("r <= 2").drop("r", "df")
-
-    met = rare(wb, "before_id").join(rare(wa, "after_id"), [*keys, "word"]).select(*keys, "before_id", "before_id_title", "after_id", "after_id_title").distinct()
-    scored = met.withColumn("similarity", F.round(X.sequence_ratio(X.norm_title(F.col("before_id_title")), X.norm_title(F.col("after_id_title"))), 3)).where(F.col("similarity") >= least)
-    best = scored.withColumn("r", F.row_number().over(W.partitionBy(*keys, "before_id").orderBy(F.desc("similarity"), F.desc("after_id")))).where(F.col("r") <= top)
+
+    def blocks(df: DataFrame, used: str, size: int, name: str) -> DataFrame:
+        left = df.join(exact.select(*keys, F.col(used).alias("product_id")), [*keys, "product_id"], "left_anti")
+        left = left.select(*keys, F.col("product_id").alias("id"), X.norm_title(F.col("product_title")).alias("norm"))
+        n = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias("n"))
+        cut = left.join(n, keys).withColumn(f"{name}_block", F.expr("pmod(xxhash64(id), n)"))
+        return cut.groupBy(*keys, f"{name}_block").agg(F.collect_list(F.struct("id", "norm")).alias(name))
+
+    met = blocks(before, "before_id", BLOCK_BEFORE, "before").join(blocks(after, "after_id", BLOCK_AFTER, "after"), keys)
+    spread = met.repartition(int(before.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "before_block", "after_block")
+    scored = spread.select(*keys, "before", "after").mapInPandas(_best(least, top), "roaster string, break_quarter string, before_id string, after_id string, ratio double, similarity double")
+    best = scored.withColumn("r", F.row_number().over(W.partitionBy(*keys, "before_id").orderBy(F.desc("ratio"), F.desc("after_id")))).where(F.col("r") <= top)
     near = best.select(*keys, "before_id", "after_id", "similarity", F.lit("similar").alias("method"))
     return exact.select(*keys, "before_id", "after_id", F.lit(1.0).alias("similarity"), F.lit("exact_title").alias("method")).unionByName(near)
 

@@ -10,17 +10,17 @@ from panelwright.functions.ids import clean_quarter, digits_id
 KEPT = ["tier", "source_type", "served_ts", "served_outside_quarter", "product_id", "product_title", "product_type", "variant_title", "size_source", "price_inr", "compare_at_price_inr", "size_grams", "multipack", "is_coffee_guess", "is_bundle", "in_switch_window"]
 
 
-def counting_rows(variants: DataFrame) -> DataFrame:
+def counting_rows(variants: DataFrame, kept: list[str] = KEPT) -> DataFrame:
     """The row with the greatest served_ts of each roaster, variant and quarter, with clean ids and quarters.
 
     Of copies the one with the least price counts, nulls last, then the greatest titles. Prices are rounded to
     paise, which drops the noise of floats. Rows without a readable variant or quarter are left out. The
-    shuffle is by variant, so that a large roaster is spread.
+    shuffle is by variant, so that a large roaster is spread, and carries the columns in `kept` only.
     """
     v = variants.withColumns({"variant_id": digits_id(F.col("variant_id"), 14), "product_id": digits_id(F.col("product_id"), 13), "quarter": clean_quarter(F.col("quarter")), "price_inr": F.round("price_inr", 2)})
     v = v.where("variant_id is not null and quarter is not null")
     order = F.struct(F.coalesce("served_ts", F.lit("")), F.col("price_inr").isNotNull(), -F.col("price_inr"), F.coalesce("product_title", F.lit("")), F.coalesce("variant_title", F.lit("")))
-    best = v.groupBy("roaster", "variant_id", "quarter").agg(F.max_by(F.struct(*KEPT), order).alias("r"))
+    best = v.groupBy("roaster", "variant_id", "quarter").agg(F.max_by(F.struct(*kept), order).alias("r"))
     return best.select("roaster", "variant_id", "quarter", "r.*")
 
 

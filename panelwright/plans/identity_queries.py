@@ -9,6 +9,7 @@ from panelwright.functions.ids import digits_id
 from panelwright.operators import identity as I
 from panelwright.operators import levers as L
 from panelwright.operators import pages as PG
+from panelwright.operators import panel as P
 from panelwright.operators import price_index as PI
 from panelwright.operators import validation as V
 from panelwright.plans.panel_queries import CHAIN, INDEX, PANEL, PRE, _items, _panel, _round, _t
@@ -30,8 +31,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _titles(spark, d):
-    return _panel(spark, d).where("product_id is not null and product_title is not null").groupBy("roaster", "product_id", "quarter").agg(F.min("product_title").alias("product_title"))
+def _titles(spark, d, panel=None):
+    return (panel or _panel(spark, d)).where("product_id is not null and product_title is not null").groupBy("roaster", "product_id", "quarter").agg(F.min("product_title").alias("product_title"))
 
 
 @query()
@@ -39,8 +40,8 @@ def key_segments(spark, d):
     return I.title_segments(_titles(spark, d))
 
 
-def _sides(spark, d):
-    products = _titles(spark, d)
+def _sides(spark, d, products=None):
+    products = products or _titles(spark, d)
     m = _t(spark, d, "match_candidates")
     return I.break_sides(products, m.select("roaster", F.col("break_quarter").alias("quarter")))
 
@@ -74,7 +75,9 @@ def match_exact(spark, d):
 
 @query()
 def match_candidates(spark, d):
-    return I.candidate_pairs(*_sides(spark, d))
+    panel = P.counting_rows(_t(spark, d, "variants_long"), ["product_id", "product_title"])
+    products, _ = Scratch(spark, "titles").write(_titles(spark, d, panel))
+    return I.candidate_pairs(*_sides(spark, d, products))
 
 
 def _links(spark, d):

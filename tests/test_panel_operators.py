@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import re
+from difflib import SequenceMatcher
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +166,25 @@ def test_identity(spark):
     assert {r["product_id"]: r["product_key"] for r in I.product_keys(products, links).collect()} == {"1": "blue-hill:9", "2": "blue-hill:9", "3": "blue-hill:9", "9": "blue-hill:9", "4": "blue-hill:4"}
 
 
+def test_candidates_are_those_of_all_pairs(spark, monkeypatch):
+    rng, words = np.random.default_rng(5), ["attikan", "atikan", "estate", "coffee", "pb", "peaberry", "lot 12", "lot 21", "washed", "natural", "dark roast", "best seller", "award winning", "monsooned malabar", "250 g"]
+    rows = {(r, s): [(f"{s}{i}", " ".join(rng.choice(words, rng.integers(1, 12))).title()) for i in range(n)] for r, n in (("many", 60), ("few", 8)) for s in "ba"}
+    rows["words", "b"], rows["words", "a"] = [("b0", "Coffee Beans"), ("b1", "Arabica Peaberry")], [("a0", "Roasted Coffee Bean"), ("a1", "Arabicas PB"), ("a2", "!")]
+    side = lambda s: spark.createDataFrame([(r, "2024Q2", i, t) for (r, k), v in rows.items() if k == s for i, t in v], "roaster string, break_quarter string, product_id string, product_title string")
+    norm = lambda t: re.sub(r"[^a-z0-9]+", " ", t.lower()).strip()
+    monkeypatch.setattr(I, "BLOCK_BEFORE", 7)
+    monkeypatch.setattr(I, "BLOCK_AFTER", 30)
+    got = I.candidate_pairs(side("b"), side("a")).collect()
+    want = set()
+    for r in ("many", "few", "words"):
+        used = {x for p in got if p["roaster"] == r and p["method"] == "exact_title" for x in (p["before_id"], p["after_id"])}
+        for b, t in rows[r, "b"]:
+            scored = [(SequenceMatcher(None, norm(t), norm(u)).ratio(), a) for a, u in rows[r, "a"] if a not in used] if b not in used else []
+            want |= {(r, b, a, round(q, 3)) for q, a in sorted((x for x in scored if x[0] >= 0.5), reverse=True)[:3]}
+    assert {(p["roaster"], p["before_id"], p["after_id"], p["similarity"]) for p in got if p["method"] == "similar"} == want
+    assert {r for r, *_ in want} == {"many", "few", "words"}
+
+
 def test_validation(spark):
     df = spark.createDataFrame([("washed", "a “washed” lot", "A \"Washed\" lot"), ("washed", "", "x"), ("washed", "natural", "washed"), ("unknown", None, None), ("purple", "purple", "purple")], "v string, e string, s string")
     got = [r[0] for r in df.select(V.evidence_errors(F.col("v"), F.col("e"), F.col("s"), ["washed", "unknown"])).collect()]
