@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from panelwright.functions import text as X
-from panelwright.functions.periods import quarter_of, stamp_date
+from panelwright.functions.periods import quarter_of, quarter_range
+from panelwright.operators.regular_grid import read_timestamp
 
 
 def card_snippets(pages: DataFrame, titles: DataFrame, page: str, text: str, longest: int = 300) -> DataFrame:
@@ -140,10 +141,16 @@ def variant_sizes(pages: DataFrame, key: str, html: str) -> DataFrame:
     return p.select(key, "variant_id", F.coalesce(said, text, heavy).alias("size_grams"), source.alias("size_source"))
 
 
-def capture_calendar(captures: DataFrame, ts: str, quarters: list[str]) -> DataFrame:
-    """roaster, one count per quarter, quarters_covered, earliest: captures per seller in a wide calendar, zeros included."""
-    day = stamp_date(F.col(ts))
+def capture_calendar(captures: DataFrame, ts: str, quarters: list[str] | None = None) -> DataFrame:
+    """roaster, one count per quarter, quarters_covered, earliest: captures per seller in a wide calendar, zeros included.
+
+    Without `quarters` the calendar runs from the first readable capture's quarter to the last one's.
+    """
+    day = F.to_date(F.substring(read_timestamp(F.col(ts)), 1, 10))
     c = captures.select("roaster", day.alias("day"), quarter_of(day).alias("q")).where("day is not null")
+    if quarters is None:
+        ends = c.agg(F.min("q").alias("first"), F.max("q").alias("last")).first()
+        quarters = [r["quarter"] for r in quarter_range(c.sparkSession, *ends).orderBy("quarter").collect()] if ends["first"] else []
     wide = c.groupBy("roaster").pivot("q", quarters).agg(F.count(F.lit(1)))
     wide = wide.select("roaster", *[F.coalesce(F.col(q), F.lit(0)).alias(q) for q in quarters])
     covered = sum((F.when(F.col(q) > 0, 1).otherwise(0) for q in quarters), F.lit(0))

@@ -213,6 +213,19 @@ def capture_calendar(spark, d):
     return PG.capture_calendar(c, "served_ts", ["2024Q1", "2024Q2"])
 
 
+@query(r"""WITH s AS (SELECT roaster, trim(served_ts) AS s FROM coverage_report),
+d AS (SELECT roaster, rpad(CASE WHEN regexp_full_match(s, '[0-9]{14}|[0-9]{8}') THEN s WHEN regexp_full_match(s, '[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?([.][0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?')
+  THEN regexp_replace(regexp_replace(s, '([.][0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?$', ''), '[^0-9]', '', 'g') END, 14, '0') AS x FROM s),
+c AS (SELECT roaster, t, year(t) * 4 + quarter(t) - 1 AS i FROM (SELECT roaster, try_strptime(left(x, 8), '%Y%m%d') AS t FROM d WHERE substr(x, 9, 2) < '24' AND substr(x, 11, 2) < '60' AND substr(x, 13, 2) < '60') WHERE t IS NOT NULL),
+r AS (SELECT roaster, count(DISTINCT i)::INT AS quarters_covered, strftime(min(t), '%Y-%m-%d') AS earliest FROM c GROUP BY 1), g AS (SELECT unnest(range((SELECT min(i) FROM c), (SELECT max(i) FROM c) + 1)) AS i),
+n AS (SELECT roaster, i, count(*) AS n FROM c GROUP BY ALL)
+SELECT r.roaster, (g.i // 4)::VARCHAR || 'Q' || (g.i % 4 + 1)::VARCHAR AS quarter, coalesce(n.n, 0) AS n, quarters_covered, earliest FROM r CROSS JOIN g LEFT JOIN n ON n.roaster = r.roaster AND n.i = g.i""")
+def capture_calendar_all(spark, d):
+    """The calendar of all readable captures and quarters, a row per roaster and quarter."""
+    wide = PG.capture_calendar(_t(spark, d, "coverage_report"), "served_ts")
+    return wide.unpivot(["roaster", "quarters_covered", "earliest"], None, "quarter", "n").select("roaster", "quarter", "n", "quarters_covered", "earliest")
+
+
 _SLUG = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-')"
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import extraction as E
 from panelwright.operators import pages as P
+from panelwright.plans import identity_queries as Q
 
 
 def test_card_snippets(spark):
@@ -44,6 +45,17 @@ def test_calendar(spark):
     assert got == {"a": (2, 0, 1, "2024-01-15"), "b": (0, 1, 1, "2024-04-01")}
 
 
+def test_calendar_of_all_captures(spark, tmp_path):
+    stamps = [("a", "20231130"), ("a", " 20240115000000"), ("a", "2024-08-01T10:00:00"), ("a", "2024-08-02 10:00:00"), ("b", "20240401000000"), ("b", "20240431000000"), ("b", "n/a"), ("b", None)]
+    spark.createDataFrame(stamps, "roaster string, served_ts string").write.parquet(f"{tmp_path}/coverage_report.parquet")
+    got = {(r["roaster"], r["quarter"]): (r["n"], r["quarters_covered"], r["earliest"]) for r in Q.QUERIES["capture_calendar_all"](spark, str(tmp_path)).collect()}
+    a, b = (3, "2023-11-30"), (1, "2024-04-01")
+    assert got == {
+        ("a", "2023Q4"): (1, *a), ("a", "2024Q1"): (1, *a), ("a", "2024Q2"): (0, *a), ("a", "2024Q3"): (2, *a),
+        ("b", "2023Q4"): (0, *b), ("b", "2024Q1"): (0, *b), ("b", "2024Q2"): (1, *b), ("b", "2024Q3"): (0, *b),
+    }
+
+
 def test_answers(spark):
     def provider(batch):
         if any(p == "boom" for _, p in batch):
