@@ -71,6 +71,15 @@ def coffee_guess(spark, d):
     return _titles(spark, d).select("p", "k").distinct().select("p", "k", X.coffee_guess(F.col("p"), F.col("k"), F.lit(False), F.lit(False)).alias("guess"))
 
 
+@query(f"""WITH c AS (SELECT DISTINCT product_title AS p, product_type AS k, size_grams IS NOT NULL AS has_grams FROM variants_long),
+b AS (SELECT *, coalesce(p, '') || ' ' || coalesce(k, '') AS s, regexp_matches(coalesce(p, ''), '(?i)\\b({_B})\\b') OR regexp_matches(regexp_replace(coalesce(p, ''), '(?i)\\bpack\\s+of\\s+[0-9]', ' ', 'g'), '(?i)\\bpack\\b') AS bundle FROM c)
+SELECT p, k, has_grams, bundle, CASE WHEN regexp_matches(s, '(?i)\\b({_N})\\b') THEN false WHEN regexp_matches(coalesce(k, ''), '(?i)\\bcoffee\\b|\\bbeans?\\b|\\broast') OR bundle THEN true WHEN regexp_matches(s, '(?i)\\b({_M})\\b') THEN NULL WHEN has_grams THEN true END AS guess FROM b""")
+def coffee_guess_rows(spark, d):
+    """The guess of each title and type with the sizes and bundles of the real rows."""
+    rows = _t(spark, d, "variants_long").select(F.col("product_title").alias("p"), F.col("product_type").alias("k"), F.col("size_grams").isNotNull().alias("has_grams")).distinct()
+    return rows.withColumn("bundle", X.is_bundle(F.col("p"))).withColumn("guess", X.coffee_guess(F.col("p"), F.col("k"), F.col("has_grams"), F.col("bundle")))
+
+
 @query("SELECT DISTINCT before_title, trim(regexp_replace(lower(coalesce(before_title, '')), '[^a-z0-9]+', ' ', 'g')) AS norm FROM match_candidates")
 def norm_title(spark, d):
     return _t(spark, d, "match_candidates").select("before_title", X.norm_title(F.col("before_title")).alias("norm")).distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.functions import ids as I
 from panelwright.functions import periods as D
 from panelwright.functions import text as X
+from panelwright.plans.quality_queries import QUERIES
 
 
 def one(spark, column):
@@ -56,6 +57,13 @@ def test_coffee_guess(spark, title, kind, grams, guess):
     assert one(spark, X.coffee_guess(F.lit(title), F.lit(kind).cast("string"), F.lit(grams), F.lit(False))) is guess
 
 
+def test_coffee_guess_of_rows(spark, tmp_path):
+    rows = [("Malabar", None, 250.0), ("Malabar", None, None), ("Sampler Bundle", None, None), ("Filter", "Tea", 100.0), ("Coffee Mug", "Coffee", 100.0), ("Malabar", "Coffee", None)]
+    spark.createDataFrame(rows, "product_title string, product_type string, size_grams double").write.parquet(f"{tmp_path}/variants_long.parquet")
+    got = {(r["p"], r["k"], r["has_grams"]): r["guess"] for r in QUERIES["coffee_guess_rows"](spark, str(tmp_path)).collect()}
+    assert got == {("Malabar", None, True): True, ("Malabar", None, False): None, ("Sampler Bundle", None, False): True, ("Filter", "Tea", True): None, ("Coffee Mug", "Coffee", True): False, ("Malabar", "Coffee", False): True}
+
+
 def test_titles(spark):
     assert one(spark, X.process_words(F.lit("Red Honey, washed"))) == ["red honey", "washed"]
     assert one(spark, X.process_words(F.lit("Anaerobic natural"))) == ["anaerobic", "natural"]
