@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +135,19 @@ def test_split_source_gives_the_same(spark, monkeypatch):
     assert spikes_of(spark, rows) == whole and len(whole) == 12
 
 
+def test_every_chunk_of_a_split_source_counts():
+    rng, chunks = np.random.default_rng(2), {1: 2, 7: 46}  # two sources in one table, with 2 and 46 chunks
+    rows = [(s, salt, 1, 10 * salt + k, f"{s}-{salt}-{k}", t, float(np.exp(rng.normal(4 + salt, 0.5))), None, n, None) for s, n in chunks.items() for salt in range(min(n, 3)) for k in range(10) for t in range(120)]
+    names = {"src": pa.int64(), "salt": pa.int32(), "kind": pa.int32(), "sk": pa.int64(), "series": pa.string(), "t": pa.int32(), "p": pa.float64(), "c": pa.float64(), "chunks": pa.int32(), "blob": pa.binary()}
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), names.values())], names=list(names))
+    got = pd.concat([b.to_pandas() for b in spikes._profile(iter([batch]))])
+    drawn = [(s, len(spikes._unpack(b)["f_p"])) for s, b in zip(got["src"], got["blob"])]
+    assert drawn == [(1, 1024)] * 2 + [(7, 45)] * 3
+    for s in chunks:
+        model = spikes._unpack(spikes._train(got[got["src"] == s])["blob"].iloc[0])
+        assert abs(model["level_p"][0] - np.median([np.log(r[6]) for r in rows if r[0] == s])) < 2e-4 and np.isnan(model["level_c"][0])
+
+
 def test_spike_edges(spark):
     assert spikes_of(spark, []) == set()
     odd = [(None, "a", 1, None, float("nan"), None, 1, 1), ("s", None, 1, "1", 5.0, None, 1, 1), ("s", "b", None, "1", 5.0, None, 1, 1), ("s", "c", 1, "1", 5.0, None, 1, 1), ("s", "c", 1, "1", 5.0, None, 1, 1)]
