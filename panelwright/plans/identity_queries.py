@@ -160,6 +160,12 @@ def embedded_json(spark, d):
     return S.embedded_json(p, "payload_id", "payload").groupBy("payload_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def embedded_json_all(spark, d):
+    """The JSON itself, of all payloads: those that are bare JSON, and those with anything before the marker."""
+    return S.embedded_json(_t(spark, d, "page_payloads"), "payload_id", "payload")
+
+
 @query("WITH n AS (SELECT user_id::VARCHAR AS roaster, ts::DATE AS day, count(DISTINCT event_type) AS n FROM events GROUP BY ALL), l AS (SELECT *, lag(n) OVER (PARTITION BY roaster ORDER BY day) AS p FROM n) SELECT roaster, day, n AS n_products, p AS prev_products, coalesce(n < 0.5 * p, false) AS big_drop FROM l")
 def snapshot_status(spark, d):
     e = _t(spark, d, "events").select(F.col("user_id").cast("string").alias("roaster"), F.col("ts").cast("date").alias("day"), F.col("event_type").alias("product_id"))

@@ -56,6 +56,13 @@ def test_calendar_of_all_captures(spark, tmp_path):
     }
 
 
+def test_embedded_json_of_all_payloads(spark, tmp_path):
+    rows = [("a", '{"b": 1, "a": [2]}'), ("b", 'var meta = {"x": "y"};\nmore()'), ("c", '<p>some</p> var meta = {"z": 3};'), ("d", '{"cut": ['), ("e", None)]
+    spark.createDataFrame(rows, "payload_id string, payload string").write.parquet(f"{tmp_path}/page_payloads.parquet")
+    got = {r["payload_id"]: r["json"] for r in Q.QUERIES["embedded_json_all"](spark, str(tmp_path)).collect()}
+    assert got == {"a": '{"a": [2], "b": 1}', "b": '{"x": "y"}', "c": '{"z": 3}'}
+
+
 def test_answers(spark):
     def provider(batch):
         if any(p == "boom" for _, p in batch):
