@@ -26,6 +26,47 @@ def range_split(items: DataFrame, index: DataFrame, pre: tuple[str, ...] = CONFI
     return last.join(level, "roaster").join(now, "roaster").join(both, "roaster").select("roaster", "end", total.alias("total_pct"), "like_for_like_pct", (total - F.col("like_for_like_pct")).alias("range_mix_pp"), "products_continuing", "products_added", "products_dropped")
 
 
+def size_cuts(changes: DataFrame, confirmed: DataFrame, variants: DataFrame, shock: str = CONFIG.shock_start) -> DataFrame:
+    """roaster, product_id, variant_id, to_quarter, ppg_change_log: cuts of a variant's size from the shock on that a person has confirmed as the same coffee.
+
+    changes: the rows of size_changes with clean ids and quarters; confirmed: product_id, the list kept by hand;
+    variants: roaster, variant_id, quarter, ppg. Cuts without a price before and after are left out.
+    """
+    c = changes.where((F.col("level") == "variant") & (F.col("confidence") == "high") & ~F.coalesce("crosses_product_split", F.lit(False)) & (F.col("to_quarter") >= shock))
+    c = c.where(F.col("sizes_after").cast("double") < F.col("sizes_before").cast("double")).join(confirmed.select("product_id").distinct(), "product_id", "left_semi")
+    one = variants.groupBy("roaster", "variant_id", "quarter").agg(F.min("ppg").alias("ppg"))
+    at = lambda name: one.select("roaster", "variant_id", F.col("quarter").alias(f"{name}_quarter"), F.col("ppg").alias(name))
+    both = c.join(at("from"), ["roaster", "variant_id", "from_quarter"]).join(at("to"), ["roaster", "variant_id", "to_quarter"])
+    return both.select("roaster", "product_id", "variant_id", "to_quarter", F.ln(F.col("to") / F.col("from")).alias("ppg_change_log")).where("ppg_change_log is not null")
+
+
+def full_split(items: DataFrame, index: DataFrame, coverage: DataFrame, cuts: DataFrame, pre: tuple[str, ...] = CONFIG.pre) -> DataFrame:
+    """A row per roaster: range_split over base quarters with complete pages, with pack_size_pp, size_cut_products, size_cut_ppg_change_pct, median_ppg_added, median_ppg_dropped and a note where there is no split.
+
+    coverage: roaster, quarter, source_type, completeness; cuts: as size_cuts gives them. pack_size_pp is the
+    share of the last quarter's products that were cut times the mean change per cut product; range_mix_pp
+    is what is left of the total without it.
+    """
+    complete = coverage.where((F.col("source_type") == "archive") & F.col("completeness").isin("complete", "single_page")).select("roaster", "quarter").distinct()
+    main = index.where("main_segment")
+    base = main.where(F.col("quarter").isin(*pre)).join(complete, ["roaster", "quarter"], "left_semi")
+    last = main.groupBy("roaster").agg(F.max("quarter").alias("end"))
+    ends = main.join(last, "roaster").where(F.col("quarter") == F.col("end")).select(*main.columns)
+    split = range_split(items, base.unionByName(ends).dropDuplicates(["roaster", "quarter"]), tuple(pre)).drop("range_mix_pp")
+    before = items.join(base.select("roaster", "quarter"), ["roaster", "quarter"], "left_semi")
+    after = items.join(last.withColumnRenamed("end", "quarter"), ["roaster", "quarter"], "left_semi")
+    only = lambda x, y, name: x.join(y.select("roaster", "product_key").distinct(), ["roaster", "product_key"], "left_anti").groupBy("roaster").agg(F.median("ppg").alias(name))
+    per = cuts.join(last, "roaster").where(F.col("to_quarter") <= F.col("end")).groupBy("roaster", "product_id").agg(F.avg("ppg_change_log").alias("l")).groupBy("roaster").agg(F.count(F.lit(1)).alias("size_cut_products"), ((F.exp(F.avg("l")) - 1) * 100).alias("size_cut_ppg_change_pct"))
+    out = items.select("roaster").distinct().join(last.withColumnRenamed("end", "indexed_until"), "roaster", "left").join(split, "roaster", "left").join(per, "roaster", "left")
+    out = out.join(only(after, before, "median_ppg_added"), "roaster", "left").join(only(before, after, "median_ppg_dropped"), "roaster", "left")
+    known = F.col("end").isNotNull()
+    n = F.when(known, F.coalesce("size_cut_products", F.lit(0)))
+    pack = F.when(known, F.coalesce(n / (F.col("products_continuing") + F.col("products_added")) * F.col("size_cut_ppg_change_pct"), F.lit(0.0)))
+    note = F.when(F.col("indexed_until").isNull(), "no price index (too few matched products)").when(~known, "no complete pre-shock page in the index segment").otherwise("")
+    mine = [F.when(known, F.col(c)).alias(c) for c in ("size_cut_ppg_change_pct", "median_ppg_added", "median_ppg_dropped")]
+    return out.select("roaster", "end", "total_pct", "like_for_like_pct", pack.alias("pack_size_pp"), (F.col("total_pct") - F.col("like_for_like_pct") - pack).alias("range_mix_pp"), n.alias("size_cut_products"), "products_continuing", "products_added", "products_dropped", *mine, note.alias("note"))
+
+
 def positioning(items: DataFrame, index: DataFrame) -> DataFrame:
     """roaster, n_items, median_ppg, quarter, index: all sellers, with the last row of their main segment if they have one."""
     own = items.groupBy("roaster").agg(F.count(F.lit(1)).alias("n_items"), F.median("ppg").alias("median_ppg"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.operators import changes as K
 from panelwright.operators import costs as C
 from panelwright.operators import identity as I
+from panelwright.operators import levers as L
 from panelwright.operators import pass_through as PT
 from panelwright.operators import price_index as X
 from panelwright.operators import quality as Q
@@ -185,6 +186,24 @@ def test_candidates_are_those_of_all_pairs(spark, monkeypatch):
     assert {r for r, *_ in want} == {"many", "few", "words"}
 
 
+def test_levers_with_pack_sizes(spark):
+    flat = [("s", q, p, v) for q, ps in (("2023Q1", {"a": 100.0, "b": 100.0, "gone": 400.0}), ("2023Q2", {"a": 1.0}), ("2024Q4", {"a": 110.0, "b": 110.0, "new": 300.0, "new2": 500.0})) for p, v in ps.items()]
+    i = spark.createDataFrame([*flat, ("t", "2023Q1", "x", 5.0), ("u", "2024Q4", "x", 5.0), ("u", "2023Q1", "x", 5.0)], "roaster string, quarter string, product_key string, ppg double")
+    idx = spark.createDataFrame([("s", "2023Q1", 100.0, True), ("s", "2023Q2", 100.0, True), ("s", "2024Q4", 110.0, True), ("u", "2023Q1", 100.0, True), ("u", "2024Q4", 100.0, True)], "roaster string, quarter string, index double, main_segment boolean")
+    cov = spark.createDataFrame([("s", "2023Q1", "archive", "complete"), ("s", "2023Q2", "archive", "partial"), ("u", "2023Q1", "live", "complete")], "roaster string, quarter string, source_type string, completeness string")
+    change = lambda p, v, to, after: ("s", "variant", "high", False, p, v, "2024Q1", to, "250", after)
+    ch = spark.createDataFrame([change("a", "1", "2024Q4", "200"), change("b", "2", "2024Q4", "200"), change("a", "3", "2024Q4", "500"), change("a", "1", "2025Q4", "200")], "roaster string, level string, confidence string, crosses_product_split boolean, product_id string, variant_id string, from_quarter string, to_quarter string, sizes_before string, sizes_after string")
+    v = spark.createDataFrame([("s", n, q, p) for n in "123" for q, p in (("2024Q1", 100.0), ("2024Q4", 120.0), ("2025Q4", 300.0))], "roaster string, variant_id string, quarter string, ppg double")
+    cuts = L.size_cuts(ch, spark.createDataFrame([("a",)], "product_id string"), v, shock="2024Q2")
+    got = {r["roaster"]: r.asDict() for r in L.full_split(i, idx, cov, cuts, ("2023Q1", "2023Q2")).collect()}
+    s = got["s"]
+    total = (np.exp(np.log([110, 110, 300, 500]).mean() - np.log([100, 100, 400]).mean()) - 1) * 100
+    assert [round(s[c], 6) for c in ("total_pct", "like_for_like_pct", "pack_size_pp", "range_mix_pp")] == [round(total, 6), 10.0, 5.0, round(total - 15, 6)]
+    assert [s[c] for c in ("size_cut_products", "products_continuing", "products_added", "products_dropped", "median_ppg_added", "median_ppg_dropped", "note")] == [1, 2, 2, 1, 400.0, 400.0, ""]
+    assert (got["t"]["note"], got["u"]["note"]) == ("no price index (too few matched products)", "no complete pre-shock page in the index segment")
+    assert got["u"]["end"] is None and got["u"]["pack_size_pp"] is None
+
+
 def test_validation(spark):
     df = spark.createDataFrame([("washed", "a “washed” lot", "A \"Washed\" lot"), ("washed", "", "x"), ("washed", "natural", "washed"), ("unknown", None, None), ("purple", "purple", "purple")], "v string, e string, s string")
     got = [r[0] for r in df.select(V.evidence_errors(F.col("v"), F.col("e"), F.col("s"), ["washed", "unknown"])).collect()]
