@@ -135,17 +135,49 @@ def test_split_source_gives_the_same(spark, monkeypatch):
     assert spikes_of(spark, rows) == whole and len(whole) == 12
 
 
-def test_every_chunk_of_a_split_source_counts():
-    rng, chunks = np.random.default_rng(2), {1: 2, 7: 46}  # two sources in one table, with 2 and 46 chunks
-    rows = [(s, salt, 1, 10 * salt + k, f"{s}-{salt}-{k}", t, float(np.exp(rng.normal(4 + salt, 0.5))), None, n, None) for s, n in chunks.items() for salt in range(min(n, 3)) for k in range(10) for t in range(120)]
-    names = {"src": pa.int64(), "salt": pa.int32(), "kind": pa.int32(), "sk": pa.int64(), "series": pa.string(), "t": pa.int32(), "p": pa.float64(), "c": pa.float64(), "chunks": pa.int32(), "blob": pa.binary()}
-    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), names.values())], names=list(names))
-    got = pd.concat([b.to_pandas() for b in spikes._profile(iter([batch]))])
-    drawn = [(s, len(spikes._unpack(b)["f_p"])) for s, b in zip(got["src"], got["blob"])]
-    assert drawn == [(1, 1024)] * 2 + [(7, 45)] * 3
-    for s in chunks:
-        model = spikes._unpack(spikes._train(got[got["src"] == s])["blob"].iloc[0])
-        assert abs(model["level_p"][0] - np.median([np.log(r[6]) for r in rows if r[0] == s])) < 2e-4 and np.isnan(model["level_c"][0])
+def test_a_split_source_has_the_model_of_a_whole_one():
+    rng = np.random.default_rng(2)
+    rows = [(7, sk % chunks, 1, 1000 * sk, f"v{sk}", t, float(np.exp(rng.normal(4 + sk % 3, 0.5))), None, None) for chunks in (1, 3) for rng in [np.random.default_rng(2)] for sk in range(30) for t in range(120)]
+    names = {"src": pa.int64(), "salt": pa.int32(), "kind": pa.int32(), "sk": pa.int64(), "series": pa.string(), "t": pa.int32(), "p": pa.float64(), "c": pa.float64(), "blob": pa.binary()}
+    half, models = len(rows) // 2, []
+    for part in (rows[:half], sorted(rows[half:], key=lambda r: (r[1], r[3], r[5]))):
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), names.values())], names=list(names))
+        got = pd.concat([b.to_pandas() for b in spikes._profile(iter([batch.slice(0, 700), batch.slice(700)]))])
+        assert len(got) == len({r[1] for r in part})
+        # merged in another order, and in two steps
+        models += [spikes._unpack(spikes._train(d)["blob"].iloc[0]) for d in (got, got[::-1], pd.concat([spikes._merge(got[:1]), spikes._merge(got[1:])]) if len(got) > 1 else got)]
+    for m in models[1:]:
+        for k, v in models[0].items():
+            assert np.array_equal(v, m[k], equal_nan=True), k
+    assert abs(models[0]["level_p"][0] - np.median([np.log(r[6]) for r in rows[:half]])) < 3e-4 and np.isnan(models[0]["level_c"][0])
+
+
+def test_the_forest_decides_what_swings_are_usual(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    wild = [("wild", f"w{v}", t, "1", float(500 * np.exp(rng.uniform(-0.7, 0.7))), None, 1, 1) for v in range(60) for t in range(12)]
+    wild = [(*r[:4], r[4] * 60, *r[5:]) if i % 97 == 5 else r for i, r in enumerate(wild)]
+    spiked = {(r[1], r[2]) for i, r in enumerate(wild) if i % 97 == 5}
+    rows, _ = quiet()
+    monkeypatch.setattr(spikes, "SWINGS", 0.5)  # leaves the source's swings to the forest alone
+    found = {r[:2] for r in spikes_of(spark, rows + wild) if r[3] == "far"}
+    monkeypatch.setattr(spikes, "SCORE", 0.0)
+    monkeypatch.setattr(spikes, "MOST", 1.0)
+    off = {r[:2] for r in spikes_of(spark, rows + wild) if r[3] == "far"}
+    assert spiked <= found and len(found) <= len(spiked) + 2 and len(off) > len(found) + 20
+
+
+def test_the_score_decides_on_the_panel(spark, monkeypatch):
+    run = lambda: {tuple(r) for r in __spark_entry__.queries()["p3_found"](spark, "/root/testdata/sf0.1").collect()}
+    on = run()
+    monkeypatch.setattr(spikes, "SCORE", 0.0)
+    monkeypatch.setattr(spikes, "MOST", 1.0)
+    assert on < run()
+
+
+def test_repeated_rows_of_one_series_are_not_held():
+    names = {"src": pa.int64(), "salt": pa.int32(), "kind": pa.int32(), "sk": pa.int64(), "series": pa.string(), "t": pa.int32(), "p": pa.float64(), "c": pa.float64(), "blob": pa.binary()}
+    batch = pa.RecordBatch.from_arrays([pa.array([x] * 1000, k) for x, k in zip((1, 0, 1, 5, "v", 3, 2.0, None, None), names.values())], names=list(names))
+    assert [len(t) for t in spikes._Chunks(iter([batch] * 5))] == [1]
 
 
 def test_spike_edges(spark):
