@@ -154,10 +154,14 @@ def stratified_sample(spark, d):
     return V.stratified_sample(docs, "source", "doc_id", allocate_quota(spark, d))
 
 
-@query("SELECT payload_id, count(*) AS n FROM page_payloads WHERE payload LIKE 'var meta = %' AND json_valid(regexp_replace(regexp_replace(payload, '^var meta = ', ''), ';.*$', '', 's')) GROUP BY 1")
+@query(r"""WITH p AS (SELECT DISTINCT payload_id, trim(payload) AS t FROM page_payloads WHERE payload IS NOT NULL),
+j AS (SELECT payload_id, CASE WHEN starts_with(t, '{') OR starts_with(t, '[') THEN t WHEN starts_with(t, 'var meta = ') THEN split_part(substr(t, 12), ';' || chr(10), 1) END AS s FROM p)
+SELECT payload_id, 0 AS n, CASE WHEN json_type(s) = 'OBJECT' THEN array_to_string(list_sort(json_keys(s)), ',') END AS keys, json_array_length(s)::INT AS items FROM j WHERE json_valid(s)""")
 def embedded_json(spark, d):
-    p = _t(spark, d, "page_payloads").where("payload like 'var meta = %'")
-    return S.embedded_json(p, "payload_id", "payload").groupBy("payload_id").agg(F.count(F.lit(1)).alias("n"))
+    """Every JSON value in the payloads, with its fields (of an object) or its length (of a list)."""
+    got = S.embedded_json(_t(spark, d, "page_payloads").distinct(), "payload_id", "payload")
+    keys = F.array_join(F.array_sort(F.json_object_keys("json")), ",")
+    return got.select("payload_id", "n", F.when(F.col("json").startswith("{"), keys).alias("keys"), F.coalesce(F.json_array_length("json"), F.lit(0)).alias("items"))
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panelwright.operators.nested import decode
+from panelwright.operators.nested import _walk, decode_after, decode_all
 
 
 def read_text_csv(spark: SparkSession, path: str, notes: str | None = None) -> DataFrame:
@@ -45,20 +45,35 @@ def served_stamp(final_url: Column, requested: Column) -> Column:
     return F.when(found != "", found).otherwise(requested)
 
 
-def embedded_json(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key and json: the first complete JSON value assigned in script text, as canonical JSON; pages without one are left out."""
+def embedded_json(pages: DataFrame, key: str, html: str, marker: str | None = None) -> DataFrame:
+    """key, n, json: the complete JSON values that a page is or that its script text assigns, in their order (n), as canonical JSON.
+
+    With a marker only the value right after its first place counts. Pages without one are left out.
+    """
     import json
 
     import pyarrow as pa
 
+    def canonical(value) -> str:
+        try:
+            return json.dumps(value, ensure_ascii=True, sort_keys=True)
+        except RecursionError:
+            return _walk([value], "")[-1][5]  # deeper than the encoder goes: its own fields, objects inside by their hash
+
     def run(batches):
         for b in batches:
-            values = [decode(t) for t in b.column(1).to_pylist()]
-            at = [i for i, v in enumerate(values) if v is not None]
+            at, n, values = [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                found = decode_all(t) if marker is None else [decode_after(t, marker)]
+                for k, v in enumerate(found):
+                    if v is not None:
+                        at.append(i)
+                        n.append(k)
+                        values.append(canonical(v))
             if at:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array([json.dumps(values[i], ensure_ascii=True, sort_keys=True) for i in at])], names=[key, "json"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(n, pa.int32()), pa.array(values)], names=[key, "n", "json"])
 
-    return pages.select(key, html).mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, json string")
+    return pages.select(key, html).mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, n int, json string")
 
 
 def first_rows(rows: DataFrame, by: list[str], *order: str | Column) -> DataFrame:

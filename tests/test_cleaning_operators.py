@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from panelwright.operators import spikes
-from panelwright.operators.nested import decode, flatten, holder_rows
+from panelwright.operators.nested import _deep, _walk, decode_after, decode_all, flatten, holder_rows
 from panelwright.operators.regular_grid import read_timestamp, regular_grid
 from panelwright.operators.snapshots import key_ordinals, snapshot_changes
 from panelwright.operators.spikes import flag_spikes
@@ -264,5 +266,25 @@ def test_nested(spark):
 
 
 def test_decode():
-    assert decode('x = 1; y = {"a": [1]} ;') == {"a": [1]}
-    assert decode('{"a": NaN}') is None and decode("[" * 100000) is None and decode(None) is None
+    assert decode_all('x = 1; y = {"a": [1]} ;') == [{"a": [1]}]
+    assert decode_all('{"a": NaN}') == [] and decode_all("[" * 100000) == [] and decode_all(None) == []
+    assert decode_all('var cfg = {"a":1}; var meta = {"product": {"id": 2}}; z = [3]') == [{"a": 1}, {"product": {"id": 2}}, [3]]
+    assert decode_all('var a = {"cut": [1; var b = {"c": 2}') == [{"c": 2}]
+    assert decode_after('a = {"x": 1}; var meta = {"y": 2}; more', "var meta = ") == {"y": 2} and decode_after("var meta = {", "var meta = ") is None
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, true, null, {"b": "x\\u00e9\\n"}], "c": {}, "d": [], "a2": [[], [{}]]}', "[]", "[1]", '[{"k": [[["v"]]]}, "s"]'])
+def test_deep_decoder_agrees(text):
+    assert _deep(text, 0) == (json.loads(text), len(text))
+    for cut in range(1, len(text)):
+        with pytest.raises(ValueError):
+            _deep(text[:cut], 0)
+
+
+def test_all_values_at_any_depth(spark):
+    deep = '{"d":' * 20_000 + '{"id":7,"variants":[{"id":71,"title":"low"}]}' + "}" * 20_000
+    rows = [(1, 'var cfg = {"a":1}; var meta = {"product":{"id":8,"variants":[{"id":81,"title":"x"}]}}; other = [1]'), (2, deep), (3, "[" * 50_000 + "]" * 50_000), (4, '{"o":{"id":9},"p":{"id":10,"variants":[{"id":9}]}}')]
+    df = spark.createDataFrame(rows, "doc long, body string")
+    got = {(r["doc"], r["holder_id"], r["row_id"], r["title"]) for r in holder_rows(df, F.col("doc"), F.col("body"))[1].collect()}
+    assert got == {(1, "8", "81", "x"), (2, "7", "71", "low"), (4, "10", "9", "")}
+    assert _walk([json.loads('{"b": [1, {"c": 2}], "a": "x"}')], "v")[-1][5].startswith('{"a":"x","b":[1,{"$":"')
