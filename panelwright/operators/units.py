@@ -22,11 +22,14 @@ WEIGHT_WORDS = {
 NUMBER_WORDS = {"half": 0.5, "quarter": 0.25, "one": 1.0, "two": 2.0, "three": 3.0, "four": 4.0, "five": 5.0, "six": 6.0, "eight": 8.0, "ten": 10.0, "twelve": 12.0}
 FRACTIONS = {"½": 0.5, "¼": 0.25, "¾": 0.75, "⅓": 1 / 3, "⅔": 2 / 3, "⅛": 0.125}
 
-#: Width of a component, in natural logarithm: rounding of written sizes. Width of a histogram bin.
-SPREAD, BIN = 0.02, 0.01
+#: Width of a component at first, in natural logarithm (the rounding of written sizes), and its bounds. Width of a histogram bin; bins beyond these ends fall into the last ones.
+SPREAD, NARROW, BROAD = 0.02, 0.01, 0.05
+BIN, LOWEST, HIGHEST = 0.01, -922, 1612
+#: Density of sizes that no component explains.
+NOISE = 1e-6
 #: Posterior below which a unit is marked as uncertain.
 SURE = 0.9
-_ROUNDS = 60
+_FITS, _ROUNDS = 4, 60
 
 _UNIT = "|".join(sorted((w for ws in WEIGHT_WORDS.values() for w in ws), key=len, reverse=True))
 _NUM = rf"(?:[1-9]/[2-9](?!\d)|\d+\s*[{''.join(FRACTIONS)}]|[{''.join(FRACTIONS)}]|\d+(?:[.,]\d+)?|\b(?:{'|'.join(NUMBER_WORDS)})\b(?:\s+an?)?)"
@@ -81,56 +84,71 @@ def bare_numbers(text: Column) -> Column:
     return F.when(plain, F.filter(numbers, lambda g: g.isNotNull() & (g > 0))).otherwise(F.array().cast("array<double>"))
 
 
+def _bin(x: Column) -> Column:
+    """The bin of a positive number's logarithm; the outermost bins take what lies beyond them, so that no number is left out."""
+    return F.round(F.least(F.greatest(F.ln(x) / BIN, F.lit(float(LOWEST))), F.lit(float(HIGHEST)))).cast("int")
+
+
 def _assign(reference: np.ndarray, bins: np.ndarray):
-    """A function for mapInPandas-like use: from a source's histogram of log values to posteriors per bin."""
+    """A function for applyInPandas: from a source's histogram of log values to posteriors per bin."""
     units = list(GRAMS)
     shift = np.log([GRAMS[u] for u in units])
     share = reference / max(reference.sum(), 1e-12)
 
-    def density(x: np.ndarray) -> np.ndarray:
-        out = np.zeros(x.shape)
+    def density(x: np.ndarray, spread: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of each value: its density, and the mean squared distance to the sizes near it in units of the spread."""
+        out, square = np.zeros(x.shape), np.zeros(x.shape)
         for start in range(0, len(bins), 64):
-            z = (x[..., None] - bins[start : start + 64]) / SPREAD
-            out += (np.exp(-0.5 * z * z) * share[start : start + 64]).sum(-1)
-        return out / (SPREAD * np.sqrt(2 * np.pi)) + 1e-6
+            z = (x[..., None] - bins[start : start + 64]) / spread
+            weight = np.exp(-0.5 * z * z) * share[start : start + 64]
+            out += weight.sum(-1)
+            square += (weight * z * z).sum(-1)
+        return out / (spread * np.sqrt(2 * np.pi)), square / np.maximum(out, 1e-300)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x, n = pdf["bin"].to_numpy() * BIN, pdf["n"].to_numpy(float)
-        like = density(x[:, None] + shift[None, :])
-        weight = np.full(len(units), 1 / len(units))
-        for _ in range(_ROUNDS):
-            post = like * weight
-            post /= post.sum(1, keepdims=True)
-            weight = (n[:, None] * post).sum(0) + 0.5
-            weight /= weight.sum()
+        weight, spread = np.full(len(units), 1 / len(units)), SPREAD
+        for last in range(_FITS):
+            clear, square = density(x[:, None] + shift[None, :], spread)
+            like = clear + NOISE
+            for _ in range(_ROUNDS):
+                post = like * weight
+                post /= post.sum(1, keepdims=True)
+                weight = (n[:, None] * post).sum(0) + 0.5
+                weight /= weight.sum()
+            mine = n[:, None] * post * clear / like
+            if last + 1 < _FITS and mine.sum() > 0:
+                spread = float(np.clip(spread * np.sqrt((mine * square).sum() / mine.sum()), NARROW, BROAD))
         post = like * weight
         post /= post.sum(1, keepdims=True)
         best = post.argmax(1)
-        return pd.DataFrame({"src": pdf["src"], "bin": pdf["bin"], "unit": [units[b] for b in best], "posterior": post.max(1), "grams_per": [GRAMS[units[b]] for b in best]})
+        return pd.DataFrame({"src": pdf["src"], "bin": pdf["bin"], "unit": [units[b] for b in best], "posterior": post.max(1), "grams_per": [GRAMS[units[b]] for b in best], "explained": clear.max(1) > NOISE})
 
     return fit
 
 
 def infer_units(values: DataFrame, source: str, value: str, reference: DataFrame, grams: str) -> DataFrame:
-    """src, bin, unit, posterior and grams_per for the bare numbers of each source, by bins of their logarithm.
+    """src, bin, unit, posterior, grams_per and explained for the bare numbers of each source, by bins of their logarithm.
 
     The components of a source's mixture are the distribution of the sizes with written units, moved by the
-    logarithms of the known conversion factors; EM fits how often the source uses each unit. Both
-    distributions are histograms of the logarithm (1 % wide bins, at most a few thousand), counted over all rows.
+    logarithms of the known conversion factors; EM fits how often the source uses each unit and how broad its
+    components are. Both distributions are histograms of the logarithm (1 % wide bins; the outermost take all
+    beyond them, so a histogram has at most some 2,500), counted over all rows. `explained` is false for
+    numbers that are near no size in any unit.
     """
-    binned = lambda df, c: df.where((F.col(c) > 1e-4) & (F.col(c) < 1e7)).withColumn("bin", F.round(F.ln(c) / BIN).cast("int"))
-    # the bounds on grams above bound this histogram to some 2,500 rows
-    ref = binned(reference.select(F.col(grams).cast("double").alias("x")), "x").groupBy("bin").count().toPandas()
+    binned = lambda df, c: df.where(F.col(c) > 0).withColumn("bin", _bin(F.col(c)))
+    ref = binned(reference.select(F.col(grams).cast("double").alias("x")), "x").groupBy("bin").count().toPandas()  # at most HIGHEST - LOWEST + 1 rows
     fit = _assign(ref["count"].to_numpy(float), ref["bin"].to_numpy(float) * BIN) if len(ref) else _assign(np.ones(1), np.log([250.0]))
     hist = binned(values.select(F.col(source).alias("src"), F.col(value).cast("double").alias("x")), "x").groupBy("src", "bin").agg(F.count(F.lit(1)).alias("n"))
-    return hist.groupBy("src").applyInPandas(fit, f"src {hist.schema['src'].dataType.simpleString()}, bin int, unit string, posterior double, grams_per double")
+    return hist.groupBy("src").applyInPandas(fit, f"src {hist.schema['src'].dataType.simpleString()}, bin int, unit string, posterior double, grams_per double, explained boolean")
 
 
 def common_grams(rows: DataFrame, size: str, title: str, source: str, keep: list[str]) -> DataFrame:
     """Every size of `rows` in grams: the columns `keep`, then grams, unit_from and uncertain; one row per distinct size.
 
     A size with a written unit is converted as written. Bare numbers get the unit of their source's
-    mixture (grams where the source is null or blank); `uncertain` marks a posterior below 0.9. Where
+    mixture (grams where the source is null or blank); `uncertain` marks a posterior below 0.9, and a number
+    that is near no known size in any unit. No number is left out, however large or small. Where
     `size` is null or blank the weight in `title` counts. Texts without a weight, and null rows, give no rows.
     """
     blank = F.trim(F.coalesce(F.col(size), F.lit(""))) == ""
@@ -140,7 +158,7 @@ def common_grams(rows: DataFrame, size: str, title: str, source: str, keep: list
     written = base.select("kept", F.explode("written").alias("grams"), F.when(F.col("titled"), F.lit("title")).otherwise("text").alias("unit_from"), F.lit(False).alias("uncertain"))
     bare = base.select("kept", "source", F.explode("bare").alias("x"))
     plain = bare.where("source is null").select("kept", F.col("x").alias("grams"), F.lit("default").alias("unit_from"), F.lit(False).alias("uncertain"))
-    sourced = bare.where("source is not null").withColumn("bin", F.round(F.ln("x") / BIN).cast("int"))
+    sourced = bare.where("source is not null").withColumn("bin", _bin(F.col("x")))
     units = infer_units(sourced, "source", "x", written, "grams")
-    inferred = sourced.join(units, (F.col("source") == F.col("src")) & (sourced["bin"] == units["bin"])).select("kept", (F.col("x") * F.col("grams_per")).alias("grams"), F.lit("source").alias("unit_from"), (F.col("posterior") < SURE).alias("uncertain"))
+    inferred = sourced.join(units, (F.col("source") == F.col("src")) & (sourced["bin"] == units["bin"])).select("kept", (F.col("x") * F.col("grams_per")).alias("grams"), F.lit("source").alias("unit_from"), ((F.col("posterior") < SURE) | ~F.col("explained")).alias("uncertain"))
     return written.unionByName(plain).unionByName(inferred).select("kept.*", "grams", "unit_from", "uncertain")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions.ids import clean_quarter, digits_id, quarter_index, quarter_label
 from panelwright.operators.nested import holder_rows
-from panelwright.operators.regular_grid import read_timestamp, regular_grid
+from panelwright.operators.regular_grid import marked_periods, read_timestamp, regular_grid
 from panelwright.operators.snapshots import snapshot_changes
 from panelwright.operators.spikes import flag_spikes
 from panelwright.operators.units import common_grams
@@ -58,16 +58,24 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_spikes(spark, d).select("variant_id", "quarter", "field")
 
 
-def p5_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Each roaster's unbroken quarterly series of its variant counts."""
+def _captures(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
+    """The captures of coverage_report with their time, and the quarter it falls in."""
     c = _t(spark, d, "coverage_report").withColumn("at", read_timestamp(F.col("served_ts")))
     quarter = F.concat(F.substring("at", 1, 4), F.lit("Q"), F.ceil(F.substring("at", 6, 2).cast("int") / 3).cast("string"))
-    grid = regular_grid(c, F.col("roaster"), quarter_index(quarter), F.col("at"), F.col("variant_count"))
-    return grid.select(F.col("source").alias("roaster"), quarter_label(F.col("period")).alias("quarter"), "observed", "value", F.round("filled", 6).alias("filled"))
+    return c, quarter_index(quarter)
+
+
+def p5_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Each roaster's unbroken quarterly series of its variant counts."""
+    c, quarter = _captures(spark, d)
+    grid = regular_grid(c, F.col("roaster"), quarter, F.col("at"), F.col("variant_count"))
+    return grid.select(F.col("source").alias("roaster"), quarter_label(F.col("period")).alias("quarter"), "observed", "value", F.round("filled", 4).alias("filled"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_grid(spark, d).where(~F.col("observed")).select("roaster", "quarter")
+    """The quarters of the grid without a capture; they need no fit, so none is computed."""
+    c, quarter = _captures(spark, d)
+    return marked_periods(c, F.col("roaster"), quarter).where(~F.col("observed")).select(F.col("source").alias("roaster"), quarter_label(F.col("period")).alias("quarter"))
 
 
 P5_SQL = """
@@ -92,7 +100,7 @@ def p6_grams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_grams(spark, d).select(F.col("product").alias("product_id"), F.col("variant").alias("variant_id"), F.col("since").alias("from_quarter"), F.round("grams").cast("long").alias("grams")).distinct()
+    return p6_grams(spark, d).select(F.col("product").alias("product_id"), F.col("variant").alias("variant_id"), F.col("since").alias("from_quarter"), F.round("grams").try_cast("long").alias("grams")).distinct()
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

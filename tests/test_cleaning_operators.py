@@ -215,8 +215,26 @@ def test_grid_predicts_trend_and_season(spark):
         assert got[i] == pytest.approx(f(i), abs=1.0)
 
 
+def test_grid_of_another_season_anywhere(spark):
+    f = lambda i: 50 + 0.5 * i + 8 * np.sin(i * np.pi / 6) + 3 * np.cos(i * np.pi / 3)
+    gaps = (11, 20, 21, 33)
+    for t0 in (0, 24_000):  # the fit does not depend on where periods begin to count
+        df = spark.createDataFrame([("a", t0 + i, "1", float(f(i))) for i in range(48) if i not in gaps], "s string, t int, o string, x double")
+        got = {r["period"] - t0: r["filled"] for r in regular_grid(df, F.col("s"), F.col("t"), F.col("o"), F.col("x"), season=12).collect()}
+        for i in gaps:
+            assert got[i] == pytest.approx(f(i), abs=0.5)
+
+
 # -- units
 
+
+def test_no_number_is_lost(spark):
+    rows = [("a", f"{g} g", "", None) for g in [250, 500, 1000] * 20] + [("s", "250", "", "src"), ("s", "500", "", "src"), ("huge", "20000000", "", "src"), ("tiny", "0.00005", "", "src"), ("endless", "9" * 400, "", "src")]
+    df = spark.createDataFrame(rows, "kept string, sz string, ti string, source string")
+    got = {r["kept"]: (r["grams"], r["uncertain"]) for r in common_grams(df, "sz", "ti", "source", ["kept"]).where("kept in ('huge', 'tiny', 'endless', 's')").collect()}
+    assert got["huge"][1] and got["tiny"][1] and got["endless"][1] and not got["s"][1]
+    assert got["huge"][0] >= 2e7 and 0 < got["tiny"][0] < 1
+
 @pytest.mark.parametrize("text, grams", [("250 g", [250]), ("1½ kg", [1500]), ("0,35 kg", [350]), ("1/2 lb", [226.796185]), ("half pound", [226.796185]), ("one kilo", [1000]), ("2×250g", [500]), ("10 sachets x 10 g", [100]), ("Pack of 2 x 100 gms", [200]), ("250 / 750 g", [250, 750]), ("0.2kg 1kg", [200, 1000]), ("Roast No. 7 / 12 oz / Channi", [340.194277]), ("300 ml / Bottle", []), ("12 fl oz", []), ("Box of 12", []), ("Default Title", []), ("", []), (None, [])])
 def test_written_grams(spark, text, grams):
     got = spark.range(1).select(written_grams(F.lit(text).cast("string"))).first()[0]
