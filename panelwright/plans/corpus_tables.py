@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from panelwright.operators.regular_grid import marked_periods, read_timestamp, r
 from panelwright.operators.snapshots import snapshot_changes
 from panelwright.operators.spikes import flag_spikes
 from panelwright.operators.units import common_grams
+from panelwright.session import shared_dir
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -18,8 +21,10 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Variants added, removed or changed; their ordinals are stored beside the session's shared tables, one dictionary per folder of input."""
     v = _t(spark, d, "variants_long")
-    changes = snapshot_changes(v, F.col("roaster"), digits_id(F.col("variant_id"), 14).cast("long"), clean_quarter(F.col("quarter")), F.col("served_ts"), F.col("price_inr"))
+    store = f"{shared_dir(spark).rstrip('/')}/ordinals-{hashlib.md5(d.encode()).hexdigest()[:12]}"
+    changes = snapshot_changes(v, F.col("roaster"), digits_id(F.col("variant_id"), 14).cast("long"), clean_quarter(F.col("quarter")), F.col("served_ts"), F.col("price_inr"), store=store)
     return changes.select(F.lpad(F.col("key").cast("string"), 14, "0").alias("variant_id"), F.col("period").alias("quarter"), "change_kind")
 
 

@@ -73,15 +73,22 @@ def test_snapshots_against_brute_force(spark):
     assert changes(spark, rows, space=16) == brute_changes(rows)
 
 
-def test_ordinals_persist(spark):
+def test_ordinals_persist(spark, tmp_path):
     rows = [(s, f"k{k}", q, "1", float(k % 3 + i), "", "") for i, q in enumerate(("2024Q1", "2024Q2")) for s in ("a", "b", None) for k in range(40) if (k + i) % 4]
-    more = rows + [(s, f"k{k}", "2024Q3", "1", 1.0, "", "") for s in ("a", "new", None) for k in range(20, 70)]
-    keyed = lambda r, d=None: key_ordinals(spark.createDataFrame(r, SNAP), F.col("s"), F.col("k"), d, space=16)
-    first = keyed(rows)
-    second = keyed(more, first)
-    old, new = ({(r["source"], r["key"]): (r["space"], r["ordinal"]) for r in d.collect()} for d in (first, second))
-    assert old.items() <= new.items() and len({(k[0], v) for k, v in new.items()}) == len(new) == len({(r[0], r[1]) for r in more})
-    assert changes(spark, more, dictionary=first, space=16) == changes(spark, more, dictionary=second) == brute_changes(more)
+    more = rows + [(s, f"k{k}", "2024Q3", "1", 1.0, "", "") for s in ("a", "new", None) for k in range(20, 70)] + [(s, None, "2024Q4", "1", 1.0, "", "") for s in ("a", "b")]
+    store = f"file://{tmp_path}/store"
+
+    def held():
+        keys, _ = key_ordinals(spark.createDataFrame([], SNAP), F.col("s"), F.col("k"), store, space=16)
+        return {(r["s"], r["k"]): (r["sp"], r["o"]) for r in keys.collect()}
+
+    assert changes(spark, rows, store=store, space=16) == brute_changes(rows)
+    first = held()
+    assert changes(spark, rows, store=store, space=16) == brute_changes(rows) and held() == first
+    assert changes(spark, more, store=store, space=16) == brute_changes(more)
+    second = held()
+    assert first.items() <= second.items() and len({(k[0], v) for k, v in second.items()}) == len(second) == len({(r[0], r[1]) for r in more if r[1]})
+    assert changes(spark, more, store=store, space=16) == brute_changes(more) and held() == second
 
 
 def test_snapshots_edges(spark):
