@@ -18,8 +18,8 @@ from panelwright.session import Scratch
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text before byte-level BPE (a fixed value of that tokenizer).
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Ranks of one length are numbered in so many shards, so that no length is numbered in one task.
-SHARDS = 64
+#: Ranks of one length are numbered in shards of about so many pieces, so that no length is numbered in one task.
+SHARD = 1 << 18
 
 _ENCODERS: dict = {}
 
@@ -122,22 +122,21 @@ def pack(sizes: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
     """doc, piece, first_token, n_tokens, container and slot of each text of `sizes` (doc, n_tokens).
 
     A text longer than the capacity is cut into full pieces and a rest; all others stay whole. Texts
-    without tokens need no room and are left out. The histogram has at most `capacity` entries, all that
-    reaches the driver; each piece's rank among those of its length then says which pattern it goes to.
+    without tokens need no room and are left out. The histogram has at most `capacity` entries, which are all
+    that reaches the driver; ranks are numbered in shards whose number follows the corpus; each piece's rank among those of its length then says which pattern it goes to.
     """
     pieces = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / capacity).cast("long")), lambda i: F.struct(i.alias("piece"), (i * capacity).alias("first_token"), F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - i * capacity).alias("n_tokens")))
     cut = sizes.where("n_tokens > 0").select("doc", F.explode(pieces).alias("p")).select("doc", "p.*")
-    cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc", "piece"), F.lit(SHARDS)))
-    per = cut.groupBy("n_tokens", "shard").count().collect()  # at most capacity * SHARDS small rows
-    counts: dict[int, int] = defaultdict(int)
-    before = []
-    for r in sorted(per, key=lambda r: (r["n_tokens"], r["shard"])):
-        before.append((r["n_tokens"], r["shard"], counts[r["n_tokens"]]))
-        counts[r["n_tokens"]] += r["count"]
-    spark = sizes.sparkSession
-    offsets = spark.createDataFrame(before, "n_tokens long, shard long, before long")
+    # even a length that all pieces have is numbered in several tasks, however many there are
+    shards = max(8, -(-cut.count() // SHARD))
+    cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc", "piece"), F.lit(shards)))
+    per = cut.groupBy("n_tokens", "shard").agg(F.count(F.lit(1)).alias("n"))
+    per, _ = scratch.write(per.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("n_tokens").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))))
+    got = per.groupBy("n_tokens").agg(F.sum("n").alias("n")).toArrow()  # at most `capacity` rows
+    counts = dict(zip(got.column("n_tokens").to_pylist(), got.column("n").to_pylist()))
     ranked = cut.withColumn("within", F.row_number().over(W.partitionBy("n_tokens", "shard").orderBy("doc", "piece")) - 1)
-    ranked = ranked.join(F.broadcast(offsets), ["n_tokens", "shard"]).withColumn("rank", F.col("within") + F.col("before"))  # bounded by capacity * SHARDS
+    # offsets: a row per length and shard, written, so that the planner knows whether to broadcast it
+    ranked = ranked.join(per.select("n_tokens", "shard", "before"), ["n_tokens", "shard"]).withColumn("rank", F.col("within") + F.col("before"))
     kind = cut.schema["doc"].dataType.simpleString()
     patterns = pack_histogram(counts, capacity)
     return ranked.select("doc", "piece", "first_token", "n_tokens", "rank").mapInArrow(_place(_slots(patterns)), f"doc {kind}, piece long, first_token long, n_tokens long, container long, slot long")
