@@ -26,28 +26,56 @@ TERMS = BLOCK * len(LANGUAGES)
 GROUND = 2
 #: Rounds of alternating updates; updates of a document's mixture in each.
 ROUNDS, INNER = 4, 6
+#: Sentences folded in at once.
+FOLD = 4096
 #: How much of its seed a component keeps; how much a labelled document may be about other areas than those it is labelled with.
 ANCHOR, LEAK = 0.3, 0.02
-#: A word tells its area if so much of its use is there; a sentence has the area that so many words tell, more than any other.
-TELLS, LEAST = 0.5, 1.0
+#: Words of a sentence that its leading area must explain, and its part of all words that areas explain there.
+LEAST, LEADS = 2.0, 0.5
 #: Share of a document's sentences with an area from which on the area is one of the document's.
 SHARE = 0.25
 
-_TAG = re.compile(r"<[^<>]{0,300}>|&#?\w{1,10};")
-_BREAK = re.compile(r"(?<=[.!?…])\s+|\n+|\s\|\s|\s[-•*]\s")
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|</?[a-zA-Z][^<>]*>|&#?\w{1,10};", re.S)
+_BREAK = re.compile(r"[.!?…]\s|\n|\s[|•*-]\s")
 _TERM = re.compile(r"[^\W\d_]{2,}")
 
 
-def sentences(text: str) -> list[list[int]]:
-    """The columns of the words of each sentence of a text."""
-    parts = [ws for part in _BREAK.split(_TAG.sub(" \n ", text)) if (ws := _TERM.findall(part.lower()))]
-    votes = [[sum(w in known for w in ws) for known in LANGUAGES.values()] for ws in parts]
-    whole = [sum(v) for v in zip(*votes)] if votes else []
-    out = []
-    for ws, vote in zip(parts, votes):
-        spoken = max(range(len(LANGUAGES)), key=lambda k: (vote[k], whole[k], -k))
-        out.append([spoken * BLOCK + zlib.crc32(w.encode("utf-8", "replace")) % BLOCK for w in ws])
-    return out
+class _Codes(dict):
+    """Of each word: its column within a language's block, and above it a bit for each language that it shows."""
+
+    def __missing__(self, word: str) -> int:
+        shows = sum(1 << k for k, known in enumerate(LANGUAGES.values()) if word in known)
+        code = self[word] = zlib.crc32(word.encode("utf-8", "replace")) % BLOCK + BLOCK * shows
+        return code
+
+
+def terms_of(texts: list[str], codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(columns of the words of all sentences, words in each sentence, sentences in each text).
+
+    A sentence is in the language that most of its words show, else in the one that most of its text shows.
+    """
+    words: list[int] = []
+    sizes, per = [], []
+    for text in texts:
+        n = 0
+        for part in _BREAK.split(_MARKUP.sub(" \n ", text) if "<" in text or "&" in text else text):
+            found = _TERM.findall(part.lower())
+            if found:
+                words.extend(map(codes.__getitem__, found))
+                sizes.append(len(found))
+                n += 1
+        per.append(n)
+    code, size, n = np.array(words, np.int64), np.array(sizes, np.int64), np.array(per, np.int64)
+    if not len(code):
+        return code.astype(np.int32), size.astype(np.int32), n.astype(np.int32)
+    start = np.r_[0, np.cumsum(size)[:-1]]
+    text = np.repeat(np.arange(len(texts)), n)
+    rank = np.zeros((len(LANGUAGES), len(size)), np.int64)
+    for k in range(len(LANGUAGES)):
+        votes = np.add.reduceat((code >> (16 + k)) & 1, start)
+        rank[k] = (votes << 32) + np.bincount(text, weights=votes, minlength=len(texts)).astype(np.int64)[text]
+    spoken = rank.argmax(0)
+    return (np.repeat(spoken, size) * BLOCK + code % BLOCK).astype(np.int32), size.astype(np.int32), n.astype(np.int32)
 
 
 def _mixtures(index: np.ndarray, value: np.ndarray, start: np.ndarray, h: np.ndarray, mask: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,37 +115,48 @@ def _seeds(sums: np.ndarray, total: np.ndarray) -> np.ndarray:
     return _even(h + 1e-3 * every + 1e-9)
 
 
-def _tells(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """(components, TERMS): the share of each term's use that is in a component."""
-    use = h * weight[:, None]
-    return use / np.maximum(use.sum(0, keepdims=True), 1e-12)
+def areas_of(terms: np.ndarray, sizes: np.ndarray, per: np.ndarray, h: np.ndarray, areas: int) -> np.ndarray:
+    """(texts, areas): how many sentences of each text are about each area.
+
+    A sentence is folded in at fixed components: its mixture says how many of its words each area explains.
+    """
+    counts = np.zeros((len(per), areas), np.int64)
+    if not len(sizes):
+        return counts
+    text = np.repeat(np.arange(len(per)), per)
+    ends = np.cumsum(sizes)
+    for at in range(0, len(sizes), FOLD):
+        size = sizes[at : at + FOLD]
+        some = terms[ends[at] - sizes[at] : ends[at + len(size) - 1]]
+        w = _mixtures(some, np.ones(len(some), np.float32), np.r_[0, np.cumsum(size)], h, np.ones((len(size), h.shape[1])), INNER)[0]
+        explained = w[:, :areas] * size[:, None]
+        best = explained.argmax(1)
+        most = explained[np.arange(len(size)), best]
+        clear = (most >= LEAST) & (most > LEADS * explained.sum(1))
+        np.add.at(counts, (text[at : at + FOLD][clear], best[clear]), 1)
+    return counts
 
 
-def areas_of(text: str, tells: np.ndarray, areas: int) -> list[tuple[int, int, int]]:
-    """(area, sentences about it, sentences with an area) of a text."""
-    counts = np.zeros(areas, int)
-    for terms in sentences(text):
-        share = tells[:areas, terms]
-        clear = np.where(share >= TELLS, share, 0.0).sum(1)
-        best = int(clear.argmax())
-        if clear[best] >= LEAST and (clear >= clear[best] - 1e-6).sum() == 1:
-            counts[best] += 1
-    total = int(counts.sum())
-    return [(int(a), int(counts[a]), total) for a in np.flatnonzero(counts)]
+_MATRIX = pa.schema([("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float32())), ("terms", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32()))])
+_LISTS = "index array<int>, value array<float>, terms array<int>, sizes array<int>"
 
 
-_MATRIX = pa.schema([("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
+def _lists(flat: np.ndarray, lengths: np.ndarray, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(flat, kind))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the document-term matrix: square roots of counts."""
+    """Rows of the document-term matrix, square roots of counts, and the terms of each sentence."""
+    codes = _Codes()
     for b in batches:
-        index, value = [], []
-        for t in b.column(1).to_pylist():
-            terms, n = np.unique(np.array([x for s in sentences(t or "") for x in s], np.int32), return_counts=True)
-            index.append(terms)
-            value.append(np.sqrt(n).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(index, _MATRIX.field(0).type), pa.array(value, _MATRIX.field(1).type)], names=["doc", "index", "value"])
+        terms, sizes, per = terms_of([t or "" for t in b.column(1).to_pylist()], codes)
+        row = np.repeat(np.repeat(np.arange(len(per)), per), sizes)
+        cell, n = np.unique(row * TERMS + terms, return_counts=True)
+        words = np.bincount(row, minlength=len(per))
+        distinct = np.bincount(cell // TERMS, minlength=len(per))
+        yield pa.RecordBatch.from_arrays([b.column(0), _lists(cell % TERMS, distinct, pa.int32()), _lists(np.sqrt(n), distinct, pa.float32()), _lists(terms, words, pa.int32()), _lists(sizes, per, pa.int32())], names=["doc", *_MATRIX.names])
+        if len(codes) > 1_000_000:
+            codes.clear()
 
 
 def _entries(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,9 +188,11 @@ def subject_areas(docs: DataFrame, doc: Column, text: Column, labels: DataFrame,
     area, and hold their own mixtures to their labels (not quite: labels may be wrong or incomplete); ground
     components take the words of all areas. Alternating multiplicative updates (Kullback-Leibler) factor the
     matrix of all documents, each round one pass over it with sums per term; terms are hashed per language,
-    so components, sums and what is broadcast have a fixed size. Each sentence then has the area that its
-    words' shares in the components tell, if any does clearly. Null and empty texts have no areas; repeated
-    rows have rows each; without labels there are no areas.
+    so components, sums and what is broadcast have a fixed size. Passes run in as many tasks as the cluster
+    has cores, so what they send does not grow with the corpus. Each sentence is then folded in at the
+    components found: its area is the leading one of its mixture, if that explains two words or more, and more
+    than all others together. Texts are read once; null and empty texts have no areas; repeated rows have
+    rows each; without labels there are no areas.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "subjects")
@@ -162,9 +203,10 @@ def subject_areas(docs: DataFrame, doc: Column, text: Column, labels: DataFrame,
     for i, a in enumerate(areas):
         bit = F.when(F.lower(F.trim("area")) == a.strip().lower(), F.lit(1 << i).cast("long")).otherwise(bit)
     marks = labels.withColumn("bit", bit).where("bit is not null and doc is not null").groupBy(F.col("doc").alias("ldoc")).agg(F.bit_or("bit").alias("labels"))
-    matrix = base.mapInArrow(_counted, f"doc {kind}, index array<int>, value array<float>")
-    matrix, _ = scratch.write(matrix.join(marks, F.col("doc") == F.col("ldoc"), "left").select(F.coalesce("labels", F.lit(0).cast("long")).alias("labels"), "index", "value"))
+    matrix = base.mapInArrow(_counted, f"doc {kind}, {_LISTS}")
+    matrix, _ = scratch.write(matrix.join(marks, F.col("doc") == F.col("ldoc"), "left").select("doc", F.coalesce("labels", F.lit(0).cast("long")).alias("labels"), "index", "value", "terms", "sizes"))
     has = lambda labels: (labels[:, None] >> np.arange(n)) & 1
+    rows = matrix.select("index", "value", "labels").coalesce(spark.sparkContext.defaultParallelism)
 
     def seeding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((TERMS, n + 1), np.float64)
@@ -178,10 +220,9 @@ def subject_areas(docs: DataFrame, doc: Column, text: Column, labels: DataFrame,
             np.add.at(sums, index, value[:, None] * share[row])
         yield _cells(sums)
 
-    sums = _gather(matrix.mapInArrow(seeding, "cell long, x double"), n + 1)
+    sums = _gather(rows.mapInArrow(seeding, "cell long, x double"), n + 1)
     seed = _seeds(sums[:n], sums[n])
     h = seed
-    part = np.zeros_like(seed)
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(np.ascontiguousarray(h.T, np.float32))  # TERMS * k floats
 
@@ -197,22 +238,17 @@ def subject_areas(docs: DataFrame, doc: Column, text: Column, labels: DataFrame,
                     np.add.at(total, index, _mixtures(index, value, start, shared.value, mask, INNER)[1])
             yield _cells(total)
 
-        part = _gather(matrix.mapInArrow(update, "cell long, x double"), k)
+        part = _gather(rows.mapInArrow(update, "cell long, x double"), k)
         shared.unpersist()
         h = _even((1 - ANCHOR) * _even(part) + ANCHOR * seed)
-    scratch.drop(matrix)
-    tells = spark.sparkContext.broadcast(_tells(part, np.ones(k)).astype(np.float32))
+    last = spark.sparkContext.broadcast(np.ascontiguousarray(h.T, np.float32))  # TERMS * k floats
 
     def reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, area, share = [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                for a, about, all_ in areas_of(t or "", tells.value, n):
-                    if about >= SHARE * all_:
-                        at.append(i)
-                        area.append(areas[a])
-                        share.append(about / all_)
-            if at:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(area), pa.array(share)], names=["doc", "area", "share"])
-
-    return base.mapInArrow(reading, f"doc {kind}, area string, share double")
+            lists = b.column("sizes")
+            counts = areas_of(b.column("terms").flatten().to_numpy(), lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False), last.value, n)
+            share = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+            at, area = np.nonzero(share >= SHARE)
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(at)), pa.array([areas[a] for a in area], pa.string()), pa.array(share[at, area])], names=["doc", "area", "share"])
+
+    return matrix.select("doc", "terms", "sizes").mapInArrow(reading, f"doc {kind}, area string, share double")
