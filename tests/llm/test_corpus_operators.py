@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelwright.llm import groups as G
 from panelwright.llm import leaks as K
 from panelwright.llm import subjects as S
 from panelwright.llm.groups import link_groups
@@ -41,7 +42,9 @@ def grouped(spark, pairs):
     return {r["record_id"]: r["group_id"] for r in link_groups(df, "a", "b").collect()}
 
 
-def test_groups_against_union_find(spark):
+@pytest.mark.parametrize("tail", [0, 40, 20_000])
+def test_groups_against_union_find(spark, monkeypatch, tail):
+    monkeypatch.setattr(G, "TAIL", tail)  # all levels over the cluster, some of them, or all in one task
     rng = np.random.default_rng(2)
     pairs = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 300, (180, 2))]
     pairs += [(f"c{i:02}", f"c{i + 1:02}") for i in range(60)]  # a long chain
