@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.functions.text import GENERIC_WORDS, PLACE_FILLERS
 from panelwright.session import Scratch
 
 #: What titles say of a product, in the order in which it is taken out of them: kind, value and the ways to say it (fixed values).
@@ -32,14 +33,10 @@ ATTRIBUTES = [
 #: A lot number; a weight as number or word with its unit (fixed values).
 LOT = r"(?:lot(?: no\.?)? ?#? ?|# ?)(\d+)"
 SIZE = r"(?<!#)(?<!# )(?<!lot )(?<!\bno )(?<!\bno\. )(?:(\d+(?:\.\d+)?|\d/\d|half|quarter|one) ?(kilograms?|kilos?|kgs?|grams?|gms?|gr(?! ?\.)|g))"
-#: Words that say nothing of which product it is (fixed values).
-PRAISE = [
-    "small batch", "limited edition", "award winning", "direct trade", "farm fresh", "bestseller", "free shipping", "only few left", "freshly roasted", "premium",
-    "perfect gift", "now back", "staff pick", "new harvest", "top rated", "100% arabica", "roasted coffee", "coffee", "beans", "arabica", "estates?", "farm", "plantations?",
-]
-
-#: Letter pairs of a name that one slip of spelling destroys at most, and letters that it changes.
-SLIP, LETTERS = 3, 2
+#: Letter pairs of a word that one slip of spelling destroys at most, and letters that it changes; shorter words have no slips.
+SLIP, LETTERS, SHORT = 3, 2, 5
+#: Two titles match if the words that both have weigh so much of the lighter one's, and so much of the heavier one's.
+CONTAINED, HEAVY = 0.6, 0.15
 
 
 def _words(pattern: str) -> str:
@@ -47,9 +44,10 @@ def _words(pattern: str) -> str:
 
 
 def title_profile(title: Column) -> tuple[Column, Column]:
-    """(attributes, name): the sorted `kind:value` tokens that a title states, and the remaining words in order of the alphabet.
+    """(attributes, words): the sorted `kind:value` tokens that a title states, and its other distinct words in order of the alphabet.
 
-    Case, order, punctuation, praise and units don't matter; a null title has no attributes and an empty name.
+    Case, order, punctuation and units don't matter; words that any listing may have (coffee, estate and the
+    like) are left out; a null title has neither.
     """
     s = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\s+", " ")
     tokens = []
@@ -64,32 +62,56 @@ def title_profile(title: Column) -> tuple[Column, Column]:
     amount = F.when(number == "half", 0.5).when(number == "quarter", 0.25).when(number == "one", 1.0).when(number.contains("/"), F.try_divide(F.substring(number, 1, 1).try_cast("double"), F.substring(number, 3, 1).try_cast("double"))).otherwise(number.try_cast("double"))
     grams = F.round(F.when(unit.startswith("k"), amount * 1000).otherwise(amount)).cast("long")
     tokens.append(F.when(grams.isNotNull(), F.concat(F.lit("size:"), grams.cast("string"))))
-    spoken = "|".join([*(pattern for _, _, pattern in ATTRIBUTES), LOT, SIZE, *PRAISE])
+    spoken = "|".join([*(pattern for _, _, pattern in ATTRIBUTES), LOT, SIZE])
     s = F.regexp_replace(s, rf"(?i)(?<![\w./]){SIZE}(?![\w])|" + _words(spoken), " ")
-    words = F.array_sort(F.filter(F.split(s, r"(?U)[^\p{L}\p{N}]+"), lambda w: w != ""))
-    return F.array_sort(F.array_compact(F.array(*tokens))), F.array_join(words, " ")
+    words = F.array_sort(F.array_distinct(F.filter(F.split(s, r"(?U)[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*GENERIC_WORDS, *PLACE_FILLERS))))
+    return F.array_sort(F.array_compact(F.array(*tokens))), words
 
 
-def _similar_names(names: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): different names of one block (`blk`, id, name) that a slip of spelling turns into each other, both ways.
+def _slips(words: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): different words of one seller (`seller`, id, word) that a slip of spelling turns into each other, both ways.
 
-    Tokens of a name are its letter pairs, numbered where they repeat. They are ordered by rarity; two names
+    Tokens of a word are its letter pairs, numbered where they repeat. They are ordered by rarity; two words
     that share all but SLIP of the longer one's tokens share one of the SLIP + 1 rarest of each.
     """
-    chars = F.concat(F.lit("^"), F.col("name"), F.lit("$"))
+    chars = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     pairs = F.transform(F.sequence(F.lit(1), F.length(chars) - 1), lambda i: F.substring(chars, i, F.lit(2)))
     numbered = F.transform(pairs, lambda p, i: F.concat(p, F.size(F.filter(F.slice(pairs, 1, i), lambda q: q == p)).cast("string")))
-    grams = names.where("name <> ''").select("blk", "id", "name", F.explode(numbered).alias("g"))
+    grams = words.where(F.length("word") >= SHORT).select("seller", "id", "word", F.explode(numbered).alias("g"))
     rarity = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = grams.join(rarity, "g").groupBy("blk", "id", "name").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
-    ranked = ranked.select("blk", "id", "name", F.transform("gs", lambda x: x["g"]).alias("gs"), F.size("gs").alias("n"))
-    prefix = ranked.select("blk", "id", "name", "gs", "n", F.posexplode(F.slice("gs", 1, SLIP + 1)).alias("i", "g"))
+    ranked = grams.join(rarity, "g").groupBy("seller", "id", "word").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
+    ranked = ranked.select("seller", "id", "word", F.transform("gs", lambda x: x["g"]).alias("gs"), F.size("gs").alias("n"))
+    prefix = ranked.select("seller", "id", "word", "gs", "n", F.posexplode(F.slice("gs", 1, SLIP + 1)).alias("i", "g"))
     x, y = prefix.alias("x"), prefix.alias("y")
     most = F.greatest(F.col("x.n"), F.col("y.n"))
     room = 1 + F.least(F.col("x.n") - F.col("x.i") - 1, F.col("y.n") - F.col("y.i") - 1) + F.least(F.col("x.i"), F.col("y.i"))
-    met = x.join(y, (F.col("x.blk") == F.col("y.blk")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id")))
+    met = x.join(y, (F.col("x.g") == F.col("y.g")) & F.col("x.seller").eqNullSafe(F.col("y.seller")) & (F.col("x.id") < F.col("y.id")))
     met = met.where((F.abs(F.col("x.n") - F.col("y.n")) <= LETTERS) & (room >= most - SLIP))  # length and positional filters
-    met = met.where(F.size(F.array_intersect("x.gs", "y.gs")) >= most - SLIP).where(F.levenshtein(F.col("x.name"), F.col("y.name"), LETTERS) >= 0)
+    met = met.where(F.size(F.array_intersect("x.gs", "y.gs")) >= most - SLIP).where(F.levenshtein(F.col("x.word"), F.col("y.word"), LETTERS) >= 0)
+    one = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    both, _ = scratch.write(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return both
+
+
+def _contained(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): sets (blk, id, ws: struct(weight, word), heaviest first) of one block of which the heavier one contains the lighter one, both ways.
+
+    Words are ordered by rarity. Of the lighter set only the rarest words, up to where the rest could no longer
+    weigh CONTAINED of it, must meet a word of the other; positions and weights then bound what they can share
+    before the exact check. The lighter one is the one of less weight, of equals the one of smaller id.
+    """
+    weigh = lambda ws: F.aggregate(ws, F.lit(0.0), lambda t, w: t + w["weight"])
+    sets = sets.withColumn("total", weigh(F.col("ws"))).where("total > 0")
+    at = sets.select("blk", "id", "ws", "total", F.posexplode("ws").alias("i", "w"))
+    rest = lambda p: F.col(f"{p}.total") - weigh(F.slice(F.col(f"{p}.ws"), F.lit(1), F.col(f"{p}.i")))
+    own = at.alias("x").where(rest("x") >= CONTAINED * F.col("x.total") - 1e-9)
+    other = at.alias("y")
+    less = (F.col("x.total") < F.col("y.total")) | (F.col("x.total") == F.col("y.total")) & (F.col("x.id") < F.col("y.id"))
+    met = own.join(other, (F.col("x.blk") == F.col("y.blk")) & (F.col("x.w.word") == F.col("y.w.word")) & less & (F.col("x.id") != F.col("y.id")))
+    # what both can share at most, from here on, if this is the first word that they share
+    met = met.where((F.least(rest("x"), rest("y")) >= CONTAINED * F.col("x.total") - 1e-9) & (F.col("x.total") >= HEAVY * F.col("y.total")))
+    shared = weigh(F.filter(F.col("x.ws"), lambda w: F.exists(F.col("y.ws"), lambda v: v["word"] == w["word"])))
+    met = met.withColumn("shared", shared).where((F.col("shared") >= CONTAINED * F.col("x.total") - 1e-9) & (F.col("shared") >= HEAVY * F.col("y.total")))
     one = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     both, _ = scratch.write(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     return both
@@ -126,26 +148,45 @@ def star_clusters(vertices: DataFrame, edges: DataFrame, scratch: Scratch) -> Da
 def same_products(listings: DataFrame, seller: Column, listing: Column, title: Column) -> DataFrame:
     """One row per seller and listing: seller, listing, product (a number), from titles that say the same.
 
-    Titles become sets of tokens: attributes in one spelling, and the letter pairs of the name that is left
-    when attributes, praise and general words are taken out. Two titles match if the weighted share of
-    common tokens reaches what one slip of spelling leaves: attributes weigh so much that all must agree,
-    of the name's letter pairs all but three must. Equal token sets are one vertex, so copies cost nothing.
-    Matching vertices meet through the rarest tokens of both (see _similar_names); star clustering gives the
-    products. A listing with several titles has the one it has most often. Rows without a listing id are left
-    out; null sellers are one seller; listings with null or empty titles are their own products.
+    Attributes of known kinds that a title states (roast, process, grade, varietal, lot, size) are vetoes: titles
+    match only if all of them agree. The other words are compared by weighted containment: a word weighs the
+    squared logarithm of how rare it is among all sellers, so that names decide and words that many sellers use
+    (praise, delivery, seasons), known or not, hardly count; two titles match if the words that both have weigh
+    60 % or more of the lighter one and 15 % of the heavier one. Spellings of a word within a seller that a slip
+    turns into each other are first made one (see _slips). Titles meet through their rarest words (see
+    _contained); star clustering gives the products. Equal titles are one vertex, so copies cost nothing. A
+    listing with several titles has the one it has most often. Rows without a listing id are left out; null
+    sellers are one seller; listings with null or empty titles are their own products.
     """
     spark = listings.sparkSession
     scratch = Scratch(spark, "listings")
-    attributes, name = title_profile(F.col("title"))
+    attributes, words = title_profile(F.col("title"))
     base = listings.select(seller.alias("seller"), listing.cast("string").alias("listing"), title.alias("title")).where("listing is not null")
     titles = base.groupBy("seller", "listing", "title").agg(F.count(F.lit(1)).alias("n"))
-    said = titles.select("seller", "listing", "n", attributes.alias("attributes"), name.alias("name"))
-    blank = (F.size("attributes") == 0) & (F.col("name") == "")
-    said = said.select("seller", "listing", "n", F.xxhash64("seller", F.array_join("attributes", "|"), F.when(blank, F.col("listing"))).alias("blk"), "name")
-    own = said.groupBy("seller", "listing", "blk", "name").agg(F.sum("n").alias("n")).groupBy("seller", "listing").agg(F.max_by(F.struct("blk", "name"), F.struct("n", "name", "blk")).alias("p"))
-    own, _ = scratch.write(own.select("seller", "listing", F.col("p.blk").alias("blk"), F.col("p.name").alias("name"), F.xxhash64("p.blk", "p.name").alias("id")))
-    vertices = own.groupBy("id", "blk", "name").agg(F.count(F.lit(1)).alias("weight"))
-    vertices, _ = scratch.write(vertices)
-    edges = _similar_names(vertices, scratch)
-    clusters = star_clusters(vertices.select("id", "weight"), edges, scratch)
+    said = titles.select("seller", "listing", "n", attributes.alias("attributes"), words.alias("words"))
+    blank = (F.size("attributes") == 0) & (F.size("words") == 0)
+    said = said.select("seller", "listing", "n", F.xxhash64("seller", F.array_join("attributes", "|"), F.when(blank, F.col("listing"))).alias("blk"), "words")
+    said, _ = scratch.write(said)
+
+    # words of a seller, with all spellings of one under the most usual
+    word = said.select("seller", "n", F.explode("words").alias("word")).groupBy("seller", "word").agg(F.sum("n").alias("weight")).withColumn("id", F.xxhash64("seller", "word"))
+    word, _ = scratch.write(word)
+    spelt = star_clusters(word.select("id", "weight"), _slips(word, scratch), scratch).withColumnRenamed("id", "sid")
+    usual = word.select(F.col("id").alias("centre"), F.col("word").alias("usual"))
+    spelt = word.join(spelt, F.col("id") == F.col("sid")).join(usual, "centre").select(F.col("seller").alias("ws"), F.col("word").alias("ww"), "usual")
+    sellers = word.agg(F.countDistinct(F.coalesce(F.col("seller"), F.lit("")), F.col("seller").isNull()).alias("sellers"))
+    spread = spelt.groupBy("usual").agg(F.count_distinct(F.struct("ws")).alias("df")).crossJoin(F.broadcast(sellers))  # one row
+    spread = spread.select(F.col("usual").alias("su"), F.pow(F.ln((F.col("sellers") + 1) / F.col("df")), 2).alias("weight"))
+    known, _ = scratch.write(spelt.join(spread, F.col("usual") == F.col("su")).select("ws", "ww", "usual", "weight"))
+
+    item = F.when(F.col("usual").isNotNull(), F.struct((-F.col("weight")).alias("weight"), F.col("usual").alias("word")))
+    # the titles of a listing, spelt the usual way, are counted by their sets of words
+    sets = said.withColumn("title", F.xxhash64("words")).select("seller", "listing", "blk", "n", "title", F.explode_outer("words").alias("word"))
+    sets = sets.join(known, F.col("seller").eqNullSafe(F.col("ws")) & (F.col("word") == F.col("ww")), "left").groupBy("seller", "listing", "blk", "title").agg(F.max("n").alias("n"), F.array_sort(F.collect_set(item)).alias("ws"))
+    sets = sets.select("seller", "listing", "blk", "n", F.transform("ws", lambda w: F.struct((-w["weight"]).alias("weight"), w["word"].alias("word"))).alias("ws"))
+    sets = sets.withColumn("id", F.xxhash64("blk", F.transform("ws", lambda w: w["word"])))
+    own = sets.groupBy("seller", "listing", "id", "blk", "ws").agg(F.sum("n").alias("n")).groupBy("seller", "listing").agg(F.max_by(F.struct("id", "blk", "ws"), F.struct("n", "id")).alias("p"))
+    own, _ = scratch.write(own.select("seller", "listing", "p.id", "p.blk", "p.ws"))
+    vertices, _ = scratch.write(own.groupBy("id", "blk", "ws").agg(F.count(F.lit(1)).alias("weight")))
+    clusters = star_clusters(vertices.select("id", "weight"), _contained(vertices, scratch), scratch)
     return own.join(clusters, "id").select("seller", "listing", F.col("centre").alias("product"))
