@@ -149,6 +149,22 @@ def different_product(a: Column, b: Column, below: float = 0.5) -> Column:
     return (word_overlap(a, b) < below) | process_or_lot_changed(a, b)
 
 
+def title_traits(c: Column) -> Column:
+    """What decides whether two titles are of one product: struct(words, processes, lots). To be computed once per title, before titles are compared."""
+    return F.struct(title_words(c).alias("words"), process_words(c).alias("processes"), lot_ids(c).alias("lots"))
+
+
+def traits_overlap(a: Column, b: Column) -> Column:
+    """word_overlap of two titles by their traits."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a["words"], b["words"])), F.size(F.array_union(a["words"], b["words"]))), F.lit(1.0))
+
+
+def traits_changed(a: Column, b: Column) -> Column:
+    """process_or_lot_changed of two titles by their traits."""
+    differs = lambda x, y: (F.size(x) > 0) & (F.size(y) > 0) & (x != y)
+    return differs(a["processes"], b["processes"]) | differs(a["lots"], b["lots"])
+
+
 def strip_tags(c: Column) -> Column:
     return squeeze(F.regexp_replace(_text(c), "<[^>]+>", " "))
 

@@ -9,25 +9,62 @@ from pyspark.sql.window import Window as W
 from panelwright.config import CONFIG
 
 
+#: Where a size is read from a title that the shop wrote for that product (fixed values).
+TITLE_SOURCES = ("variant_title", "product_title", "product_page_variant")
+
+
+def usable_sizes(rows: DataFrame) -> DataFrame:
+    """Rows whose sizes can be compared: sized, of their quarter, no bundles, not known to be something else."""
+    false = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    return rows.where(F.coalesce("is_coffee_guess", F.lit(True)) & false("is_bundle") & false("served_outside_quarter") & F.col("size_grams").isNotNull())
+
+
+def _sure(*sources: Column) -> Column:
+    """`high` if all sizes come from titles, else `low`."""
+    all_ = None
+    for c in sources:
+        ok = F.coalesce(c.isin(*TITLE_SOURCES), F.lit(False))
+        all_ = ok if all_ is None else all_ & ok
+    return F.when(all_, "high").otherwise("low")
+
+
 def variant_size_changes(rows: DataFrame) -> DataFrame:
-    """roaster, variant_id, from_quarter, to_quarter, size_before, size_after: sizes of a variant that differ between its consecutive quarters."""
+    """Sizes of a variant that differ between its consecutive quarters, with its titles, where the sizes come from, and confidence. rows: one per variant and quarter."""
     w = W.partitionBy("roaster", "variant_id").orderBy("quarter")
-    at = rows.where("size_grams is not null").select("roaster", "variant_id", "quarter", "size_grams").withColumns({"from_quarter": F.lag("quarter").over(w), "size_before": F.lag("size_grams").over(w)})
-    return at.where("size_before <> size_grams").select("roaster", "variant_id", "from_quarter", F.col("quarter").alias("to_quarter"), "size_before", F.col("size_grams").alias("size_after"))
+    row = F.struct("quarter", "product_id", "variant_title", "size_grams", "size_source")
+    at = rows.where("size_grams is not null").select("roaster", "variant_id", "product_title", row.alias("now"), F.lag(row).over(w).alias("was")).where("was.size_grams <> now.size_grams")
+    return at.select(
+        "roaster", F.col("was.product_id").alias("product_id"), "product_title", "variant_id", F.col("was.variant_title").alias("variant_title_before"), F.col("now.variant_title").alias("variant_title_after"),
+        F.col("was.quarter").alias("from_quarter"), F.col("now.quarter").alias("to_quarter"), F.col("was.size_grams").alias("size_before"), F.col("now.size_grams").alias("size_after"),
+        F.col("was.size_source").alias("size_source_before"), F.col("now.size_source").alias("size_source_after"), _sure(F.col("was.size_source"), F.col("now.size_source")).alias("confidence"),
+    )
 
 
 def menu(sizes: Column) -> Column:
-    """Sizes as a text in ascending order, whole numbers without decimals."""
-    return F.array_join(F.transform(F.array_sort(sizes), lambda x: F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))), " ")
+    """Sizes as a text in ascending order, six digits each, whole numbers without decimals."""
+    def text(x: Column) -> Column:
+        unit = F.pow(F.lit(10.0), 5 - F.floor(F.log10(x)))
+        six = F.round(x * unit) / unit
+        return F.when(six == F.floor(six), F.floor(six).cast("string")).otherwise(six.cast("string"))
+
+    return F.array_join(F.transform(F.array_sort(sizes), text), " ")
 
 
 def product_size_changes(rows: DataFrame) -> DataFrame:
-    """roaster, product_id, from_quarter, to_quarter, sizes_before, sizes_after: menus of sizes of a product that share none between its consecutive quarters."""
-    menus = rows.where("size_grams is not null and product_id is not null").groupBy("roaster", "product_id", "quarter").agg(F.collect_set("size_grams").alias("sizes"))
+    """Menus of sizes of a product that differ between its consecutive quarters: a size added or gone is a change too. Confidence is `high` if all sizes on both sides come from titles."""
+    doubtful = ~F.coalesce(F.col("size_source").isin(*TITLE_SOURCES), F.lit(False))
+    menus = rows.where("size_grams is not null and product_id is not null").groupBy("roaster", "product_id", "quarter").agg(F.array_sort(F.collect_set("size_grams")).alias("sizes"), F.bool_or(doubtful).alias("doubtful"), F.min("product_title").alias("product_title"))
     w = W.partitionBy("roaster", "product_id").orderBy("quarter")
-    at = menus.withColumns({"from_quarter": F.lag("quarter").over(w), "before": F.lag("sizes").over(w)})
-    changed = at.where(F.col("before").isNotNull() & (F.size(F.array_intersect("before", "sizes")) == 0))
-    return changed.select("roaster", "product_id", "from_quarter", F.col("quarter").alias("to_quarter"), menu(F.col("before")).alias("sizes_before"), menu(F.col("sizes")).alias("sizes_after"))
+    at = menus.withColumns({"from_quarter": F.lag("quarter").over(w), "before": F.lag("sizes").over(w), "was": F.lag("doubtful").over(w)}).where("before is not null and before <> sizes")
+    return at.select("roaster", "product_id", "product_title", "from_quarter", F.col("quarter").alias("to_quarter"), menu(F.col("before")).alias("sizes_before"), menu(F.col("sizes")).alias("sizes_after"), F.when(F.col("doubtful") | F.col("was"), "low").otherwise("high").alias("confidence"))
+
+
+def mark_splits(changes: DataFrame, keys: DataFrame) -> DataFrame:
+    """changes with crosses_product_split: the product's key differs between the two quarters (a missing key differs from one that is there). keys: roaster, product_id, quarter, source_type, product_key; archived keys count before live ones."""
+    one = keys.groupBy("roaster", "product_id", "quarter").agg(F.min_by("product_key", "source_type").alias("key"))
+    side = lambda name: one.select("roaster", "product_id", F.col("quarter").alias(f"{name}_quarter"), F.col("key").alias(f"{name}_key"))
+    both = changes.join(side("from"), ["roaster", "product_id", "from_quarter"], "left").join(side("to"), ["roaster", "product_id", "to_quarter"], "left")
+    return both.withColumn("crosses_product_split", ~F.col("from_key").eqNullSafe(F.col("to_key"))).drop("from_key", "to_key")
 
 
 def period_changes(items: DataFrame, period: str, value: str = "ppg", move: float = CONFIG.price_move) -> DataFrame:

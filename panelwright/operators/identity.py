@@ -33,6 +33,42 @@ def title_segments(titles: DataFrame) -> DataFrame:
     return at.select("roaster", "product_id", "quarter", F.col("segment").cast("int").alias("segment"), key.alias("product_key"), start.alias("segment_start"))
 
 
+def title_history(rows: DataFrame) -> DataFrame:
+    """roaster, product_id, titles, title_similarity, title_changed, process_or_lot_changed: a product's distinct titles in the order in which they came, and whether any step between them leads to another product."""
+    seen = rows.where("product_id is not null and product_title is not null").groupBy("roaster", "product_id", "product_title").agg(F.min(F.struct("quarter", "source_type", "variant_id")).alias("since"))
+    w = W.partitionBy("roaster", "product_id").orderBy("since", "product_title")
+    at = seen.withColumn("traits", X.title_traits(F.col("product_title"))).withColumn("was", F.lag("traits").over(w))
+    first = F.col("was").isNull()
+    at = at.withColumns({"overlap": F.when(~first, X.traits_overlap(F.col("was"), F.col("traits"))), "changed": F.when(~first, X.traits_changed(F.col("was"), F.col("traits")))})
+    per = at.groupBy("roaster", "product_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("since", "product_title"))), lambda s: s["product_title"]).alias("titles"), F.round(F.min("overlap"), 3).alias("title_similarity"), F.coalesce(F.bool_or((F.col("overlap") < 0.5) | F.col("changed")), F.lit(False)).alias("title_changed"), F.coalesce(F.bool_or("changed"), F.lit(False)).alias("process_or_lot_changed"))
+    return per.select("roaster", "product_id", "titles", "title_similarity", "title_changed", "process_or_lot_changed")
+
+
+def keyed_quarters(rows: DataFrame, keys: DataFrame, history: DataFrame) -> DataFrame:
+    """One row per product, quarter and source: product_title, product_key, segment, segment_start_quarter, segment_start_date, title_changed, attributes_valid.
+
+    keys: roaster, product_id, product_key. The titles of a product whose title has changed (see title_history)
+    are cut where they mean another product; the first segment keeps the key, others add `@` and the quarter in
+    which they begin. Attributes are those of the last segment. Archived rows of a quarter come before live ones;
+    the title of a quarter is its most frequent, of equals the least.
+    """
+    by = ["roaster", "product_id"]
+    title = F.expr("mode() within group (order by product_title)").alias("product_title")
+    per = rows.where("product_id is not null").groupBy(*by, "quarter", "source_type").agg(title, F.min(F.substring("served_ts", 1, 8)).alias("first_date"))
+    w = W.partitionBy(*by).orderBy("quarter", "source_type")
+    at = per.join(history.select(*by, "title_changed"), by, "left").withColumn("title_changed", F.coalesce("title_changed", F.lit(False)))
+    at = at.withColumn("traits", F.when(F.col("title_changed"), X.title_traits(F.col("product_title")))).withColumns({"prev": F.lag("product_title").over(w), "was": F.lag("traits").over(w)})
+    other = (X.traits_overlap(F.col("was"), F.col("traits")) < 0.5) | X.traits_changed(F.col("was"), F.col("traits"))
+    at = at.withColumn("new", F.when(F.col("title_changed") & (F.col("prev") != F.col("product_title")), other).otherwise(F.lit(False))).withColumn("new", F.coalesce("new", F.lit(False)))
+    at = at.withColumn("segment", (F.sum(F.col("new").cast("int")).over(w) + 1).cast("int"))
+    seg = W.partitionBy(*by, "segment").orderBy("quarter", "source_type").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    at = at.withColumns({"segment_start_quarter": F.first("quarter").over(seg), "start_date": F.first("first_date").over(seg), "last": F.max("segment").over(W.partitionBy(*by))})
+    at = at.join(keys.select(*by, F.col("product_key").alias("base")), by)
+    key = F.when(F.col("segment") > 1, F.concat("base", F.lit("@"), "segment_start_quarter")).otherwise(F.col("base"))
+    day = F.when(F.length("start_date") >= 8, F.concat_ws("-", F.substring("start_date", 1, 4), F.substring("start_date", 5, 2), F.substring("start_date", 7, 2))).otherwise("")
+    return at.select(*by, "quarter", "source_type", "product_title", key.alias("product_key"), "segment", "segment_start_quarter", day.alias("segment_start_date"), "title_changed", (~F.col("title_changed") | (F.col("segment") == F.col("last"))).alias("attributes_valid"))
+
+
 def break_sides(products: DataFrame, breaks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(before, after): products of the quarter before each break and of the break's quarter, without ids that are on both sides.
 

@@ -27,17 +27,32 @@ def range_split(items: DataFrame, index: DataFrame, pre: tuple[str, ...] = CONFI
 
 
 def size_cuts(changes: DataFrame, confirmed: DataFrame, variants: DataFrame, shock: str = CONFIG.shock_start) -> DataFrame:
-    """roaster, product_id, variant_id, to_quarter, ppg_change_log: cuts of a variant's size from the shock on that a person has confirmed as the same coffee.
+    """roaster, product_id, product_title, variant_id, from_quarter, to_quarter, size_before, size_after, ppg_change_log: cuts of a variant's size from the shock on that a person has confirmed as the same product.
 
-    changes: the rows of size_changes with clean ids and quarters; confirmed: product_id, the list kept by hand;
-    variants: roaster, variant_id, quarter, ppg. Cuts without a price before and after are left out.
+    changes: as changes.variant_size_changes and mark_splits give them; confirmed: product_id, the list kept by
+    hand; variants: roaster, variant_id, quarter, ppg. Cuts without a price before and after are left out.
     """
-    c = changes.where((F.col("level") == "variant") & (F.col("confidence") == "high") & ~F.coalesce("crosses_product_split", F.lit(False)) & (F.col("to_quarter") >= shock))
-    c = c.where(F.col("sizes_after").cast("double") < F.col("sizes_before").cast("double")).join(confirmed.select("product_id").distinct(), "product_id", "left_semi")
+    c = changes.where((F.col("confidence") == "high") & ~F.coalesce("crosses_product_split", F.lit(False)) & (F.col("to_quarter") >= shock) & (F.col("size_after") < F.col("size_before")))
+    c = c.join(confirmed.select("product_id").distinct(), "product_id", "left_semi").select("roaster", "product_id", "product_title", "variant_id", "from_quarter", "to_quarter", "size_before", "size_after")
     one = variants.groupBy("roaster", "variant_id", "quarter").agg(F.min("ppg").alias("ppg"))
     at = lambda name: one.select("roaster", "variant_id", F.col("quarter").alias(f"{name}_quarter"), F.col("ppg").alias(name))
     both = c.join(at("from"), ["roaster", "variant_id", "from_quarter"]).join(at("to"), ["roaster", "variant_id", "to_quarter"])
-    return both.select("roaster", "product_id", "variant_id", "to_quarter", F.ln(F.col("to") / F.col("from")).alias("ppg_change_log")).where("ppg_change_log is not null")
+    return both.withColumn("ppg_change_log", F.ln(F.col("to") / F.col("from"))).drop("from", "to").where("ppg_change_log is not null")
+
+
+def cut_table(cuts: DataFrame, variants: DataFrame) -> DataFrame:
+    """A row per roaster, product, quarters and sizes of the cuts: how many variants, median prices before, after and in the last quarter that each variant has, median change per gram in percent.
+
+    variants: roaster, variant_id, quarter, price_inr; one row per variant and quarter.
+    """
+    price = lambda q, name: variants.select("roaster", "variant_id", F.col("quarter").alias(q), F.col("price_inr").alias(name))
+    last = variants.groupBy("roaster", "variant_id").agg(F.max("quarter").alias("latest_quarter"), F.max_by("price_inr", "quarter").alias("price_latest"))
+    all_ = cuts.join(price("from_quarter", "price_before"), ["roaster", "variant_id", "from_quarter"]).join(price("to_quarter", "price_after"), ["roaster", "variant_id", "to_quarter"]).join(last, ["roaster", "variant_id"])
+    change = F.round((F.exp("ppg_change_log") - 1) * 100, 1)
+    return all_.groupBy("roaster", "product_title", "from_quarter", "to_quarter", "size_before", "size_after").agg(
+        F.countDistinct("variant_id").alias("n_variants"), F.median("price_before").alias("price_before"), F.median("price_after").alias("price_after"),
+        F.median(change).alias("ppg_change_pct"), F.max("latest_quarter").alias("latest_quarter"), F.median("price_latest").alias("price_latest"),
+    )
 
 
 def full_split(items: DataFrame, index: DataFrame, coverage: DataFrame, cuts: DataFrame, pre: tuple[str, ...] = CONFIG.pre) -> DataFrame:

@@ -124,22 +124,86 @@ def fold_small(rows: DataFrame, attribute: str, product: str, baseline: str, *,
     return out.withColumn(attribute, F.when(F.col("small"), F.lit("too_few")).otherwise(F.col("level"))).drop("level", "small")
 
 
+def _levels(rows: DataFrame, column: str) -> list:
+    return [r[0] for r in rows.select(column).distinct().orderBy(column).collect() if r[0] is not None]  # levels are model columns
+
+
+def design(rows: DataFrame, attributes: dict[str, str], periods: str = "quarter", shifts: Column | None = None) -> tuple[list[str], list[Column]]:
+    """Names and columns of a regression: log size, dummies of the attributes' levels (each against its baseline) and of the periods (against the first), with `shifts` also each attribute dummy times it. Columns that do not vary are left out."""
+    terms, x = ["ln_size"], [F.ln("size_grams")]
+    for a in (*attributes, periods):
+        levels = _levels(rows, a)
+        for v in levels:
+            if v != (attributes[a] if a in attributes else levels[0]):
+                x.append(F.col(a).eqNullSafe(F.lit(v)).cast("double"))
+                terms.append(f"{a}[{v}]")
+    if shifts is not None:
+        for t, c in list(zip(terms, x)):
+            if t.split("[")[0] in attributes:
+                x.append(c * shifts.cast("double"))
+                terms.append(f"{t}:shock")
+    spread = rows.agg(*[(F.max(c) > F.min(c)).alias(f"c{i}") for i, c in enumerate(x)]).first()
+    kept = [i for i in range(len(x)) if spread[f"c{i}"]]
+    return [terms[i] for i in kept], [x[i] for i in kept]
+
+
+def _fitted(rows: DataFrame, terms: list[str], x: list[Column], product: str, absorb: str) -> DataFrame:
+    less, groups = within(rows.select(F.ln("ppg").alias("y"), F.array(*x).alias("x"), F.col(product).alias("cluster"), F.col(absorb).alias("effect")), "effect", len(terms))
+    fit = ols(less, terms, cluster=True, absorbed=groups)
+    return fit.withColumns({"effect_pct": (F.exp("coef") - 1) * 100, "effect_low": (F.exp("ci_low") - 1) * 100, "effect_high": (F.exp("ci_high") - 1) * 100})
+
+
 def hedonic(rows: DataFrame, attributes: dict[str, str], product: str = "product_key", absorb: str = "roaster", periods: str = "quarter") -> DataFrame:
-    """Log price per gram on log size, the attributes' levels (each against its baseline), period dummies and a fixed effect of `absorb`; errors clustered by product.
+    """Log price per gram on log size, the attributes' levels, period dummies and a fixed effect of `absorb` (see design); errors clustered by product.
 
-    Adds effect_pct, the effect of a term in percent. The fixed effect is taken out within its groups, so the
-    number of columns depends on levels and periods only.
+    Adds effect_pct, effect_low and effect_high, the effect of a term in percent. The fixed effect is taken out
+    within its groups, so the number of columns depends on levels and periods only.
     """
     base = rows.where("ppg > 0 and size_grams > 0")
     for a, baseline in attributes.items():
         base = fold_small(base, a, product, baseline)
-    x: list[Column] = [F.ln("size_grams")]
-    terms = ["ln_size"]
-    for a in (*attributes, periods):
-        levels = [r[0] for r in base.select(a).distinct().orderBy(a).collect() if r[0] is not None]  # levels are model columns
-        for v in levels:
-            if v != (attributes[a] if a in attributes else levels[0]):
-                x.append(F.col(a).eqNullSafe(F.lit(v)).cast("double"))
-                terms.append(f"{a}_{v}")
-    less, groups = within(base.select(F.ln("ppg").alias("y"), F.array(*x).alias("x"), F.col(product).alias("cluster"), F.col(absorb).alias("effect")), "effect", len(terms))
-    return ols(less, terms, cluster=True, absorbed=groups).withColumn("effect_pct", (F.exp("coef") - 1) * 100)
+    return _fitted(base, *design(base, attributes, periods), product, absorb)
+
+
+def hedonic_sample(items: DataFrame, attributes: DataFrame, names: list[str], pending: DataFrame | None = None, *, pre: tuple[str, ...] = CONFIG.pre, shock: str = CONFIG.shock_start) -> DataFrame:
+    """Items whose attributes are those of their product in that quarter, with the attributes in lower case (blank: `unknown`) and period, `pre` or `shock`; products in `pending` (roaster, product_id) await new attributes and are left out."""
+    d = items.where(F.coalesce("attributes_valid", F.lit(False)))
+    d = d.join(attributes.select("roaster", "product_id", *names), ["roaster", "product_id"])
+    if pending is not None:
+        d = d.join(pending.select("roaster", "product_id").distinct(), ["roaster", "product_id"], "left_anti")
+    for a in names:
+        d = d.withColumn(a, F.lower(F.when(F.coalesce(F.col(a), F.lit("")) == "", "unknown").otherwise(F.col(a))))
+    return d.withColumn("period", F.when((F.col("quarter") >= shock) & ~F.col("quarter").isin(*pre), "shock").otherwise("pre"))
+
+
+def hedonic_counts(sample: DataFrame, attributes: dict[str, str], product: str = "product_key", *, min_products: int = CONFIG.min_products, min_obs: int = CONFIG.min_obs) -> DataFrame:
+    """period, attribute, level, n_obs, n_products, reported: how often each level occurs; levels with too few products or rows are not reported, baselines always are."""
+    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.coalesce(F.col(a), F.lit("unknown")).alias("level"), F.lit(b).alias("baseline")) for a, b in attributes.items()]))
+    n = sample.select("period", F.col(product).alias("__p"), cells.alias("c")).groupBy("period", "c.attribute", "c.level", "c.baseline").agg(F.count(F.lit(1)).alias("n_obs"), F.countDistinct("__p").alias("n_products"))
+    enough = (F.col("n_products") >= min_products) & (F.col("n_obs") >= min_obs) | (F.col("level") == F.col("baseline"))
+    return n.withColumn("reported", enough).drop("baseline")
+
+
+def hedonic_periods(sample: DataFrame, attributes: dict[str, str], product: str = "product_key", absorb: str = "roaster") -> DataFrame:
+    """hedonic of each period of the sample by itself, with period, n_obs and n_products."""
+    out = None
+    for period in _levels(sample, "period"):
+        some = sample.where(F.col("period") == period)
+        n = some.agg(F.countDistinct(product).alias("n_products"))
+        fit = hedonic(some, attributes, product, absorb).withColumn("period", F.lit(period)).crossJoin(F.broadcast(n))  # one row
+        out = fit if out is None else out.unionByName(fit)
+    return out if out is not None else sample.sparkSession.createDataFrame([], f"{_RESULT}, effect_pct double, effect_low double, effect_high double, period string, n_products long")
+
+
+def fit_change(sample: DataFrame, attributes: dict[str, str], product: str = "product_key", absorb: str = "roaster") -> DataFrame:
+    """Did an attribute's effect change in the shock? One model of both periods, in which each level also has a shift in the shock: attribute, level, shock_shift, ci_low, ci_high, p, n.
+
+    Levels too rare in both periods together, or missing in one of them, are folded.
+    """
+    d = sample.where("ppg > 0 and size_grams > 0")
+    for a, baseline in attributes.items():
+        d = fold_small(d, a, product, baseline)
+        both = d.groupBy(F.col(a).alias("__l")).agg((F.countDistinct("period") == 2).alias("__both"))
+        d = d.join(both, F.col(a).eqNullSafe(F.col("__l")), "left").withColumn(a, F.when(F.col("__both"), F.col(a)).otherwise("too_few")).drop("__l", "__both")
+    fit = _fitted(d, *design(d, attributes, "quarter", F.col("period") == "shock"), product, absorb).where("term like '%:shock'")
+    return fit.select(F.regexp_extract("term", r"^(\w+)\[", 1).alias("attribute"), F.regexp_extract("term", r"\[(.*)\]", 1).alias("level"), F.col("coef").alias("shock_shift"), "ci_low", "ci_high", "p", "n")

@@ -12,7 +12,7 @@ from panelwright.operators import pages as PG
 from panelwright.operators import panel as P
 from panelwright.operators import price_index as PI
 from panelwright.operators import validation as V
-from panelwright.plans.panel_queries import CHAIN, INDEX, PANEL, PRE, _items, _panel, _round, _t
+from panelwright.plans.panel_queries import CHAIN, INDEX, PANEL, _items, _panel, _round, _t
 from panelwright.session import Scratch
 from panelwright.sources import readers as S
 from panelwright.streaming import tracker as T
@@ -35,11 +35,6 @@ def _titles(spark, d, panel=None):
     return (panel or _panel(spark, d)).where("product_id is not null and product_title is not null").groupBy("roaster", "product_id", "quarter").agg(F.min("product_title").alias("product_title"))
 
 
-@query()
-def key_segments(spark, d):
-    return I.title_segments(_titles(spark, d))
-
-
 def _sides(spark, d, products=None):
     products = products or _titles(spark, d)
     m = _t(spark, d, "match_candidates")
@@ -105,20 +100,6 @@ def product_keys_cc(spark, d):
     return I.product_keys(products, _links(spark, d).where("status in ('linked', 'linked_human')"))
 
 
-@query(f"""WITH RECURSIVE {INDEX},
-l AS (SELECT roaster, max(quarter) AS e, arg_max(index, quarter) - 100 AS lfl FROM idx WHERE main_segment GROUP BY 1),
-b AS (SELECT i.* FROM items i JOIN idx x ON x.roaster = i.roaster AND x.quarter = i.quarter AND x.main_segment AND x.quarter IN {PRE}),
-a AS (SELECT i.* FROM items i JOIN l ON l.roaster = i.roaster AND l.e = i.quarter),
-l0 AS (SELECT roaster, avg(l) AS l0 FROM (SELECT roaster, quarter, avg(ln(ppg)) AS l FROM b GROUP BY ALL) GROUP BY 1), l1 AS (SELECT roaster, avg(ln(ppg)) AS l1 FROM a GROUP BY 1),
-p AS (SELECT coalesce(x.roaster, y.roaster) AS roaster, count(*) FILTER (WHERE x.product_key IS NOT NULL AND y.product_key IS NOT NULL) AS c, count(*) FILTER (WHERE x.product_key IS NULL) AS ad, count(*) FILTER (WHERE y.product_key IS NULL) AS dr
-      FROM (SELECT DISTINCT roaster, product_key FROM b WHERE product_key IS NOT NULL) x FULL JOIN (SELECT DISTINCT roaster, product_key FROM a WHERE product_key IS NOT NULL) y USING (roaster, product_key) GROUP BY 1)
-SELECT roaster, e AS "end", round((exp(l1 - l0) - 1) * 100, 4) + 0.0 AS total_pct, round(lfl, 4) + 0.0 AS like_for_like_pct, round((exp(l1 - l0) - 1) * 100 - lfl, 4) + 0.0 AS range_mix_pp, c AS products_continuing, ad AS products_added, dr AS products_dropped
-FROM l JOIN l0 USING (roaster) JOIN l1 USING (roaster) JOIN p USING (roaster)""")
-def levers(spark, d):
-    items = _items(spark, d).where("product_key is not null")
-    return _round(L.range_split(items, PI.normalise(PI.chain(_items(spark, d)))), "total_pct", "like_for_like_pct", "range_mix_pp", n=4)
-
-
 @query(f"""WITH RECURSIVE {INDEX}, l AS (SELECT roaster, max(quarter) AS quarter, arg_max(index, quarter) AS index FROM idx WHERE main_segment GROUP BY 1)
 SELECT i.roaster, count(*) AS n_items, round(median(ppg), 6) AS median_ppg, any_value(l.quarter) AS quarter, round(any_value(l.index), 6) AS index FROM items i LEFT JOIN l ON l.roaster = i.roaster GROUP BY 1""")
 def positioning(spark, d):

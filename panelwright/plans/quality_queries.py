@@ -95,12 +95,6 @@ def title_words_jaccard(spark, d):
     return _t(spark, d, "match_candidates").select("pair_ref", F.round(X.word_overlap(F.col("before_title"), F.col("after_title")), 6).alias("overlap"))
 
 
-@query()
-def different_title(spark, d):
-    a, b = F.col("before_title"), F.col("after_title")
-    return _t(spark, d, "match_candidates").select("pair_ref", F.array_join(X.process_words(a), ",").alias("processes"), F.array_join(X.lot_ids(a), ",").alias("lots"), X.process_or_lot_changed(a, b).alias("changed"), X.different_product(a, b).alias("different"))
-
-
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[\\s\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x0b]+', ' ', 'g')) AS clean FROM documents")
 def html_strip_tags(spark, d):
     return _t(spark, d, "documents").select("doc_id", X.strip_tags(F.col("text")).alias("clean"))
@@ -201,30 +195,6 @@ def _by_quarter(spark, d):
     return _t(spark, d, "orders").select("o_custkey", "o_orderkey", day.alias("day"), F.make_date(F.year(day), F.quarter(day) * 3 - 1, F.lit(15)).alias("mid"))
 
 
-_LINES = """panel AS (SELECT p_brand AS roaster, l_partkey AS product_id, l_partkey * 10 + l_linenumber AS variant_id, year(l_shipdate)::VARCHAR || 'Q' || quarter(l_shipdate)::VARCHAR AS quarter, min(l_quantity) AS size_grams
-  FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)"""
-
-
-def _lines(spark, d):
-    """Order lines as a panel in which sizes change."""
-    j = _t(spark, d, "lineitem").join(_t(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return j.groupBy(F.col("p_brand").alias("roaster"), F.col("l_partkey").alias("product_id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("variant_id"), D.quarter_of(F.col("l_shipdate")).alias("quarter")).agg(F.min("l_quantity").alias("size_grams"))
-
-
-@query(f"""WITH {_LINES}, s AS (SELECT roaster, variant_id, quarter, size_grams, lag(quarter) OVER w AS from_quarter, lag(size_grams) OVER w AS size_before FROM panel WHERE size_grams IS NOT NULL WINDOW w AS (PARTITION BY roaster, variant_id ORDER BY quarter))
-SELECT roaster, variant_id, from_quarter, quarter AS to_quarter, size_before, size_grams AS size_after FROM s WHERE size_before <> size_grams""")
-def size_changes_variant(spark, d):
-    return K.variant_size_changes(_lines(spark, d))
-
-
-@query(f"""WITH {_LINES}, m AS (SELECT roaster, product_id, quarter, list_sort(list_distinct(list(size_grams))) AS s FROM panel WHERE size_grams IS NOT NULL AND product_id IS NOT NULL GROUP BY ALL),
-l AS (SELECT *, lag(quarter) OVER w AS from_quarter, lag(s) OVER w AS b FROM m WINDOW w AS (PARTITION BY roaster, product_id ORDER BY quarter))
-SELECT roaster, product_id, from_quarter, quarter AS to_quarter, array_to_string(list_transform(b, lambda x: CASE WHEN x = floor(x) THEN x::BIGINT::VARCHAR ELSE x::VARCHAR END), ' ') AS sizes_before,
-  array_to_string(list_transform(s, lambda x: CASE WHEN x = floor(x) THEN x::BIGINT::VARCHAR ELSE x::VARCHAR END), ' ') AS sizes_after FROM l WHERE b IS NOT NULL AND len(list_intersect(b, s)) = 0""")
-def size_changes_product(spark, d):
-    return K.product_size_changes(_lines(spark, d))
-
-
 _CH = f"""{ITEMS}, qs AS (SELECT roaster, quarter AS from_period, lead(quarter) OVER (PARTITION BY roaster ORDER BY quarter) AS to_period FROM (SELECT DISTINCT roaster, quarter FROM items)),
 b AS (SELECT i.roaster, from_period, to_period, product_key, size_grams, ppg FROM items i JOIN qs ON qs.roaster = i.roaster AND qs.from_period = i.quarter AND to_period IS NOT NULL),
 a AS (SELECT i.roaster, from_period, to_period, product_key, size_grams, ppg FROM items i JOIN qs ON qs.roaster = i.roaster AND qs.to_period = i.quarter),
