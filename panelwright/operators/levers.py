@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.config import CONFIG
+from panelwright.session import Scratch
 
 
 def range_split(items: DataFrame, index: DataFrame, pre: tuple[str, ...] = CONFIG.pre) -> DataFrame:
@@ -62,6 +63,9 @@ def full_split(items: DataFrame, index: DataFrame, coverage: DataFrame, cuts: Da
     share of the last quarter's products that were cut times the mean change per cut product; range_mix_pp
     is what is left of the total without it.
     """
+    # each of them is read many times below
+    scratch = Scratch(items.sparkSession, "levers")
+    items, index, cuts = (scratch.write(df)[0] for df in (items, index, cuts))
     complete = coverage.where((F.col("source_type") == "archive") & F.col("completeness").isin("complete", "single_page")).select("roaster", "quarter").distinct()
     main = index.where("main_segment")
     base = main.where(F.col("quarter").isin(*pre)).join(complete, ["roaster", "quarter"], "left_semi")

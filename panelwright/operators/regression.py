@@ -187,6 +187,7 @@ def hedonic_counts(sample: DataFrame, attributes: dict[str, str], product: str =
 def hedonic_periods(sample: DataFrame, attributes: dict[str, str], product: str = "product_key", absorb: str = "roaster") -> DataFrame:
     """hedonic of each period of the sample by itself, with period, n_obs and n_products."""
     out = None
+    sample, _ = Scratch(sample.sparkSession, "hedonic").write(sample)  # read many times below
     for period in _levels(sample, "period"):
         some = sample.where(F.col("period") == period)
         n = some.agg(F.countDistinct(product).alias("n_products"))
@@ -200,7 +201,7 @@ def fit_change(sample: DataFrame, attributes: dict[str, str], product: str = "pr
 
     Levels too rare in both periods together, or missing in one of them, are folded.
     """
-    d = sample.where("ppg > 0 and size_grams > 0")
+    d, _ = Scratch(sample.sparkSession, "hedonic").write(sample.where("ppg > 0 and size_grams > 0"))  # read many times below
     for a, baseline in attributes.items():
         d = fold_small(d, a, product, baseline)
         both = d.groupBy(F.col(a).alias("__l")).agg((F.countDistinct("period") == 2).alias("__both"))

