@@ -47,13 +47,6 @@ def pack_count(spark, d):
     return p.select("p", X.pack_count(F.col("p")).alias("n"))
 
 
-@query()
-def size_cascade(spark, d):
-    """Sizes from variant title, product title, with packs, and where each was found."""
-    s = X.resolve_size(F.col("v"), F.col("p"))
-    return _titles(spark, d).select("v", "p", s["grams"].alias("grams"), s["multipack"].alias("multipack"), s["source"].alias("source"))
-
-
 _B = "|".join(X.SEVERAL[:-1])
 
 
