@@ -179,6 +179,91 @@ def candidate_pairs(before: DataFrame, after: DataFrame, least: float = CONFIG.m
     return exact.select(*keys, "before_id", "after_id", F.lit(1.0).alias("similarity"), F.lit("exact_title").alias("method")).unionByName(near)
 
 
+def live_breaks(rows: DataFrame, below: float = CONFIG.id_break_below) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(breaks, before, after) between each seller's last archived quarter and its live catalogue, by product id.
+
+    breaks: roaster, before_quarter, carryover (the share of the archived ids that are still live, 3 digits) and
+    is_break; before and after: the products of one side only, with break_quarter (the live quarter and `-live`)
+    and before_quarter, for breaks only.
+    """
+    arch = rows.where((F.col("source_type") == "archive") & ~F.coalesce("served_outside_quarter", F.lit(False)) & F.col("product_id").isNotNull())
+    live = rows.where((F.col("source_type") == "live") & F.col("product_id").isNotNull())
+    last = arch.groupBy("roaster").agg(F.max("quarter").alias("quarter"))
+    old = arch.join(last, ["roaster", "quarter"]).groupBy("roaster", "product_id").agg(F.min("product_title").alias("product_title"), F.max("quarter").alias("before_quarter"))
+    new = live.groupBy("roaster", "product_id").agg(F.min("product_title").alias("product_title"), F.min("quarter").alias("lq"))
+    both = old.join(new.select("roaster", "product_id", F.lit(1).alias("there")), ["roaster", "product_id"], "left")
+    share = both.groupBy("roaster", "before_quarter").agg((F.count("there") / F.count(F.lit(1))).alias("share")).join(new.groupBy("roaster").agg(F.min("lq").alias("lq")), "roaster")
+    breaks = share.select("roaster", "before_quarter", F.round("share", 3).alias("carryover"), (F.col("share") < below).alias("is_break"), F.concat("lq", F.lit("-live")).alias("break_quarter"))
+    cut = breaks.where("is_break").select("roaster", "before_quarter", "break_quarter")
+    keys = ["roaster", "product_id"]
+    before = old.join(new.select(*keys), keys, "left_anti").drop("before_quarter").join(cut, "roaster")
+    after = new.join(old.select(*keys), keys, "left_anti").drop("lq").join(cut, "roaster")
+    return breaks.drop("break_quarter"), before, after
+
+
+def all_candidates(archived: tuple[DataFrame, DataFrame], live: tuple[DataFrame, DataFrame], top: int = CONFIG.top_k) -> DataFrame:
+    """pair_ref, roaster, break_quarter, before_quarter, before_id, after_id, similarity, method: candidates of the archived breaks, then those of the live ones, numbered p1, p2 .. in that order.
+
+    Within each: by roaster and break, exact titles first, then by product before, best first, so that the
+    numbers of archived pairs stay when live breaks are added. Numbers come from counts per break.
+    """
+    parts = []
+    for i, (before, after) in enumerate((archived, live)):
+        quarters = before.select("roaster", "break_quarter", "before_quarter").distinct()
+        parts.append(candidate_pairs(before, after, top=top).join(quarters, ["roaster", "break_quarter"]).withColumn("late", F.lit(i)))
+    pairs, _ = Scratch(archived[0].sparkSession, "pairs").write(parts[0].unionByName(parts[1]))
+    by = ["late", "roaster", "break_quarter"]
+    counts = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    start = counts.withColumn("start", F.sum("n").over(W.orderBy(*by)) - F.col("n")).drop("n")  # a row per break
+    order = W.partitionBy(*by).orderBy((F.col("method") != "exact_title").cast("int"), "before_id", F.desc("similarity"), F.desc("after_id"))
+    numbered = pairs.join(start, by).withColumn("i", F.row_number().over(order) + F.col("start"))
+    return numbered.select(F.concat(F.lit("p"), F.col("i").cast("string")).alias("pair_ref"), "roaster", "break_quarter", "before_quarter", "before_id", "after_id", "similarity", "method")
+
+
+def resolve_pairs(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """pairs with same_product, confidence, reason and status.
+
+    decisions: pair_ref, same_product, confidence, reason, one per pair at most. Exact titles are linked by rule.
+    Without a decision a pair is `no_decision`, with a doubtful one in `review`, else linked or rejected; linked
+    pairs that share a product with another linked one are `conflict`.
+    """
+    d = decisions.select("pair_ref", F.col("same_product").alias("sp"), F.col("confidence").alias("co"), F.col("reason").alias("re"))
+    exact = F.col("method") == "exact_title"
+    said = {"same_product": ("yes", "sp"), "confidence": ("high", "co"), "reason": ("identical title after normalising", "re")}
+    p = pairs.drop(*said, "status").join(d, "pair_ref", "left").withColumns({c: F.when(exact, F.lit(v)).otherwise(F.coalesce(x, F.lit(""))) for c, (v, x) in said.items()}).drop("sp", "co", "re")
+    status = F.when(F.col("same_product") == "", "no_decision").when(F.col("confidence") == "low", "review").when(F.col("same_product") == "yes", "linked").otherwise("rejected")
+    return resolve_conflicts(p.withColumn("status", status))
+
+
+def apply_human(pairs: DataFrame, reviews: DataFrame) -> DataFrame:
+    """pairs with human_decision (`yes`, `no` or blank): what a person decided (roaster, before_id, after_id, your_decision) overrides all else."""
+    said = F.lower(F.trim("your_decision"))
+    r = reviews.where(said.isin("yes", "no")).groupBy("roaster", "before_id", "after_id").agg(F.max(said).alias("__h"))
+    p = pairs.drop("human_decision").join(r, ["roaster", "before_id", "after_id"], "left").withColumn("human_decision", F.coalesce("__h", F.lit(""))).drop("__h")
+    return p.withColumn("status", F.when(F.col("human_decision") == "yes", "linked_human").when(F.col("human_decision") == "no", "rejected_human").otherwise(F.col("status")))
+
+
+def needs_review(pairs: DataFrame) -> DataFrame:
+    """Pairs that need a person, and those that one has decided, with your_decision to be filled in."""
+    open_ = F.col("status").isin("review", "conflict", "no_decision") | (F.coalesce("human_decision", F.lit("")) != "")
+    return pairs.where(open_).withColumn("your_decision", F.col("human_decision"))
+
+
+def link_provenance(products: DataFrame, keys: DataFrame, pairs: DataFrame) -> DataFrame:
+    """products (roaster, product_id, ..) with product_key and, from the links to it, linked_from_product_id, link_method, link_confidence and link_reason, several joined by ` | ` in order of the pairs' ids."""
+    linked = pairs.where(F.col("status").isin("linked", "linked_human"))
+    rows = F.array_sort(F.collect_list(F.struct("before_id", "method", "confidence", "reason")))
+    via = linked.groupBy("roaster", F.col("after_id").alias("product_id")).agg(rows.alias("l"), F.bool_or(F.col("status") == "linked_human").alias("human"))
+    text = lambda f: F.array_join(F.transform("l", lambda r: r[f]), " | ")
+    out = products.join(keys.select("roaster", "product_id", "product_key"), ["roaster", "product_id"]).join(via, ["roaster", "product_id"], "left")
+    human = F.coalesce("human", F.lit(False))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return out.withColumns({
+        "linked_from_product_id": blank(text("before_id")), "link_method": F.when(human, "human").otherwise(blank(F.array_join(F.array_sort(F.array_distinct(F.transform("l", lambda r: r["method"]))), " | "))),
+        "link_confidence": F.when(human, "human").otherwise(blank(text("confidence"))), "link_reason": blank(text("reason")),
+    }).drop("l", "human")
+
+
 def resolve_conflicts(pairs: DataFrame, linked: str = "linked") -> DataFrame:
     """pairs with status `conflict` in place of `linked` where an id is linked to two others."""
     by = lambda c: F.count(F.when(F.col("status") == linked, 1)).over(W.partitionBy("roaster", c))

@@ -184,7 +184,7 @@ def stream_snapshots(spark, d):
     for state in ("a", "b"):
         stream = spark.readStream.schema(source.schema).parquet(f"{scratch.root}/0")
         T.run_tracker(spark, stream, f"{scratch.root}/table", ["roaster", "day"], f"{scratch.root}/{state}").awaitTermination()
-    return spark.read.parquet(f"{scratch.root}/table")
+    return spark.read.parquet(f"{scratch.root}/table").drop("run", "batch")
 
 
 @query(f"""WITH {PANEL}, x AS (SELECT * FROM panel WHERE product_id IS NOT NULL),
