@@ -42,18 +42,30 @@ def rebase(quarterly: DataFrame, value: str, to: str, pre: tuple[str, ...] = CON
     return quarterly.crossJoin(F.broadcast(base)).withColumn(to, F.col(value) / F.col("base") * 100).drop("base")  # one row
 
 
-def splice(old: DataFrame, new: DataFrame) -> DataFrame:
+def splice(old: DataFrame, new: DataFrame, strict: bool = False) -> DataFrame:
     """month, value, series: the old base's months, then the new base's after them, times the ratio of their means where they overlap.
 
-    No overlap, no tail.
+    No overlap, no tail; with `strict` that is a ValueError.
     """
     o, n = old.select("month", F.col("value").alias("o")), new.select("month", F.col("value").alias("n"))
-    factor = o.join(n, "month").agg(F.try_divide(F.avg("o"), F.avg("n")).alias("factor"))
+    both = o.join(n, "month")
+    if strict and not both.limit(1).count():
+        raise ValueError("the two series share no months")
+    factor = both.agg(F.try_divide(F.avg("o"), F.avg("n")).alias("factor"))
     tail = n.crossJoin(F.broadcast(factor)).crossJoin(F.broadcast(o.agg(F.max("month").alias("last"))))  # one row each
     tail = tail.where(F.col("factor").isNotNull() & (F.col("month") > F.col("last"))).select("month", (F.col("n") * F.col("factor")).alias("value"), F.lit("new").alias("series"))
     return o.select("month", F.col("o").alias("value"), F.lit("old").alias("series")).unionByName(tail)
 
 
+def splice_info(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row on how two series were linked: overlap_months, overlap_from, overlap_to, link_factor, ratio_min, ratio_max (4 digits) and linked_months."""
+    both = old.select("month", F.col("value").alias("o")).join(new.select("month", F.col("value").alias("n")), "month")
+    info = both.agg(F.count(F.lit(1)).alias("overlap_months"), F.min("month").alias("overlap_from"), F.max("month").alias("overlap_to"), F.round(F.try_divide(F.avg("o"), F.avg("n")), 4).alias("link_factor"), F.round(F.min(F.try_divide("o", "n")), 4).alias("ratio_min"), F.round(F.max(F.try_divide("o", "n")), 4).alias("ratio_max"))
+    last = old.agg(F.max("month").alias("last"))
+    linked = new.crossJoin(F.broadcast(last)).where("month > last").agg(F.count(F.lit(1)).alias("linked_months"))
+    return info.crossJoin(F.broadcast(linked))  # one row each
+
+
 def deflate(headline: DataFrame, cpi: DataFrame) -> DataFrame:
     """Adds inflation_part (the price rise that inflation explains), real_change and real_pass_through_pct (of the rise in cost) to pass-through rows."""
     c = cpi.select("quarter", F.col("cpi_index").alias("cpi"))

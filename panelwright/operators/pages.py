@@ -23,13 +23,15 @@ def card_snippets(pages: DataFrame, titles: DataFrame, page: str, text: str, lon
     titles: page, product_id, product_title. The last card ends after `longest` characters. Titles that are
     not there, and empty cards, give no rows.
     """
-    t = titles.where("product_title <> ''").select(page, "product_id", "product_title").distinct()
-    at = pages.select(page, F.col(text).alias("__t")).join(t, page).withColumn("pos", F.expr("locate(lower(product_title), lower(__t))")).where("pos > 0")
-    nxt = F.lead("pos").over(W.partitionBy(page).orderBy("pos", "product_id"))
-    begin = F.col("pos") + F.length("product_title")
-    until = F.coalesce(nxt, begin + longest)
-    cut = F.substr(F.col("__t"), begin, F.greatest(until - begin, F.lit(0)))
-    return at.select(page, "product_id", X.tidy_card(F.trim(cut), F.col("product_title")).alias("snippet")).where("snippet <> ''")
+    t = titles.where("product_title <> ''").select(page, F.struct("product_id", "product_title").alias("t")).distinct().groupBy(page).agg(F.array_sort(F.collect_set("t")).alias("ts"))
+    at = pages.select(page, F.col(text).alias("__t")).join(t, page)
+    low = F.lower("__t")
+    place = lambda x: F.struct(F.call_function("locate", F.lower(x["product_title"]), low).alias("pos"), x["product_id"].alias("product_id"), x["product_title"].alias("product_title"))
+    at = at.withColumn("hits", F.array_sort(F.filter(F.transform("ts", place), lambda h: h["pos"] > 0)))
+    cut = lambda h, i: F.struct(h["product_id"].alias("product_id"), h["product_title"].alias("product_title"), F.substr(F.col("__t"), h["pos"] + F.length(h["product_title"]), F.greatest(F.coalesce(F.try_element_at("hits", i + 2)["pos"], h["pos"] + F.length(h["product_title"]) + longest) - h["pos"] - F.length(h["product_title"]), F.lit(0))).alias("cut"))
+    # the page's text stays in one row; only the cards leave it
+    cards = at.select(page, F.explode(F.transform("hits", cut)).alias("c")).select(page, "c.*")
+    return cards.select(page, "product_id", X.tidy_card(F.trim("cut"), F.col("product_title")).alias("snippet")).where("snippet <> ''")
 
 
 def longest_cards(snippets: DataFrame, by: list[str], order: str) -> DataFrame:

@@ -19,10 +19,11 @@ def _lagged(costs: DataFrame, lags: tuple[int, ...]) -> DataFrame:
     return single.unionByName(mean)
 
 
-def pass_through(index: DataFrame, items: DataFrame, costs: DataFrame, *, pre: tuple[str, ...] = CONFIG.pre, start: str = CONFIG.shock_start, lags: tuple[int, ...] = CONFIG.lags) -> DataFrame:
+def pass_through(index: DataFrame, items: DataFrame, costs: DataFrame, *, pre: tuple[str, ...] = CONFIG.pre, start: str = CONFIG.shock_start, lags: tuple[int, ...] = CONFIG.lags, least: float = CONFIG.min_cost_change) -> DataFrame:
     """One row per roaster, quarter of its main segment from `start` on, and lag: changes of price and cost since the base quarters, and their ratios.
 
     costs: quarter and cost. The base price is the median item of the main segment's base quarters.
+    `reliable` marks a change of cost of `least` or more, either way: ratios to smaller ones say little.
     """
     main = index.where("main_segment")
     base_q = main.where(F.col("quarter").isin(*pre)).select("roaster", "quarter")
@@ -34,7 +35,7 @@ def pass_through(index: DataFrame, items: DataFrame, costs: DataFrame, *, pre: t
     return rows.select(
         "roaster", "quarter", "lag", "base_price", (F.col("rise") * 100).alias("retail_change_pct"), (F.col("base_price") * F.col("rise")).alias("retail_change_rs"),
         more.alias("cost_change_rs"), (share * 100).alias("cost_change_pct"),
-        F.try_divide(F.col("base_price") * F.col("rise") * 100, more).alias("rupee_pass_through_pct"), F.try_divide(F.col("rise") * 100, share).alias("percent_pass_through_pct"),
+        F.try_divide(F.col("base_price") * F.col("rise") * 100, more).alias("rupee_pass_through_pct"), F.try_divide(F.col("rise") * 100, share).alias("percent_pass_through_pct"), (F.abs(more) >= least).alias("reliable"),
     )
 
 

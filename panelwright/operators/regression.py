@@ -208,3 +208,9 @@ def fit_change(sample: DataFrame, attributes: dict[str, str], product: str = "pr
         d = d.join(both, F.col(a).eqNullSafe(F.col("__l")), "left").withColumn(a, F.when(F.col("__both"), F.col(a)).otherwise("too_few")).drop("__l", "__both")
     fit = _fitted(d, *design(d, attributes, "quarter", F.col("period") == "shock"), product, absorb).where("term like '%:shock'")
     return fit.select(F.regexp_extract("term", r"^(\w+)\[", 1).alias("attribute"), F.regexp_extract("term", r"\[(.*)\]", 1).alias("level"), F.col("coef").alias("shock_shift"), "ci_low", "ci_high", "p", "n")
+
+
+def reported_effects(fits: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows of hedonic_periods for a chart: attributes and levels that are reported in their period, without `unknown`."""
+    named = fits.withColumns({"attribute": F.regexp_extract("term", r"^(\w+)\[", 1), "level": F.regexp_extract("term", r"\[(.*)\]", 1)})
+    return named.where("attribute <> '' and level <> 'unknown'").join(counts.where("reported").select("period", "attribute", "level"), ["period", "attribute", "level"])

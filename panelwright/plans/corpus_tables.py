@@ -96,6 +96,25 @@ FROM g WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.roaster IS NOT DISTINCT FROM g.
 """
 
 
+P5_GRID_SQL = r"""
+WITH RECURSIVE c AS (SELECT roaster, trim(served_ts) AS s, variant_count AS v FROM coverage_report),
+t AS (SELECT roaster, v, CASE WHEN regexp_full_match(s, '[0-9]{14}') THEN try_strptime(s, '%Y%m%d%H%M%S') WHEN regexp_full_match(s, '[0-9]{8}') THEN try_strptime(s, '%Y%m%d') ELSE try_cast(replace(s, 'T', ' ') AS timestamp) END AS cap FROM c),
+q AS (SELECT roaster, year(cap) * 4 + quarter(cap) - 1 AS i, strftime(cap, '%Y-%m-%d %H:%M:%S') AS o, v::DOUBLE AS v FROM t WHERE cap IS NOT NULL),
+s AS (SELECT roaster, i, v AS x FROM q QUALIFY row_number() OVER (PARTITION BY roaster, i ORDER BY o DESC, v DESC NULLS LAST) = 1),
+m AS (SELECT roaster, avg(i) AS mid FROM s WHERE x IS NOT NULL GROUP BY 1),
+f AS (SELECT s.roaster, s.i, x, [1.0, (s.i - mid) / 4.0, cos(s.i * pi() / 2), sin(s.i * pi() / 2), cos(s.i * pi())]::DOUBLE[] AS b FROM s JOIN m ON m.roaster IS NOT DISTINCT FROM s.roaster WHERE x IS NOT NULL),
+ne AS (SELECT roaster, r, c, sum(b[r] * CASE WHEN c <= 5 THEN b[c] ELSE x END) AS a, count(*) AS n FROM f, range(1, 6) rr(r), range(1, 7) cc(c) GROUP BY ALL),
+mx AS (SELECT roaster, list(row ORDER BY r) AS a FROM (SELECT roaster, r, list(a + CASE WHEN r <> c THEN 0.0 WHEN r = 1 THEN 1e-9 * n ELSE 1e-3 * n END ORDER BY c) AS row FROM ne GROUP BY ALL) GROUP BY 1),
+el AS (SELECT roaster, 1 AS k, a FROM mx UNION ALL SELECT roaster, k + 1, list_transform(a, lambda row, i: CASE WHEN i = k THEN list_transform(row, lambda z: z / row[k]) ELSE list_transform(row, lambda z, j: z - row[k] * a[k][j] / a[k][k]) END) FROM el WHERE k <= 5),
+w AS (SELECT el.roaster, mid, list_transform(a, lambda row: row[6]) AS w FROM el JOIN m ON m.roaster IS NOT DISTINCT FROM el.roaster WHERE k = 6),
+g AS (SELECT roaster, unnest(range(min(i), max(i) + 1)) AS i FROM s GROUP BY roaster),
+h AS (SELECT g.roaster, g.i, s.i IS NOT NULL AS observed, x, w.w[1] + w.w[2] * (g.i - mid) / 4.0 + w.w[3] * cos(g.i * pi() / 2) + w.w[4] * sin(g.i * pi() / 2) + w.w[5] * cos(g.i * pi()) AS fitted FROM g LEFT JOIN s ON s.roaster IS NOT DISTINCT FROM g.roaster AND s.i = g.i LEFT JOIN w ON w.roaster IS NOT DISTINCT FROM g.roaster),
+r AS (SELECT *, max(CASE WHEN x IS NOT NULL THEN i END) OVER (PARTITION BY roaster ORDER BY i) AS pi_, min(CASE WHEN x IS NOT NULL THEN i END) OVER (PARTITION BY roaster ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni FROM h),
+e AS (SELECT r.*, p.x - p.fitted AS pr, n.x - n.fitted AS nr FROM r LEFT JOIN h p ON p.roaster IS NOT DISTINCT FROM r.roaster AND p.i = r.pi_ LEFT JOIN h n ON n.roaster IS NOT DISTINCT FROM r.roaster AND n.i = r.ni)
+SELECT roaster, CAST(i // 4 AS varchar) || 'Q' || CAST(i % 4 + 1 AS varchar) AS quarter, observed, x AS value, round(coalesce(x, fitted + CASE WHEN pr IS NULL THEN nr WHEN nr IS NULL OR ni = pi_ THEN pr ELSE pr + (i - pi_) / (ni - pi_)::DOUBLE * (nr - pr) END), 4) AS filled FROM e
+"""
+
+
 def p6_grams(spark: SparkSession, d: str) -> DataFrame:
     """Every size before the change, in grams, with where its unit comes from."""
     s = _t(spark, d, "size_changes")
@@ -114,4 +133,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_spikes": p3_spikes, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_grams": p6_grams, "p7_found": p7_found}
-ORACLES = {"p2_found": P2_SQL, "p5_found": P5_SQL}
+ORACLES = {"p2_found": P2_SQL, "p5_found": P5_SQL, "p5_grid": P5_GRID_SQL}

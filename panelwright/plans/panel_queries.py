@@ -177,6 +177,12 @@ def cpi_splice(spark, d):
     return _round(C.splice(*_old_new(spark, d)), "value")
 
 
+@query(f"""WITH {RATES}, o AS (SELECT month, mean AS o FROM rates WHERE month < '2025-01'), n AS (SELECT month, mean / 2 AS n FROM rates WHERE month >= '2024-01')
+SELECT count(*) AS overlap_months, min(month) AS overlap_from, max(month) AS overlap_to, round(avg(o) / avg(n), 4) AS link_factor, round(min(o / n), 4) AS ratio_min, round(max(o / n), 4) AS ratio_max, (SELECT count(*) FROM n WHERE month > (SELECT max(month) FROM o)) AS linked_months FROM o JOIN n USING (month)""")
+def cpi_splice_info(spark, d):
+    return C.splice_info(*_old_new(spark, d))
+
+
 @query(f"WITH {RATES}, {CPI} SELECT quarter, round(cpi_index, 6) AS cpi_index FROM cpi")
 def cpi_quarterly(spark, d):
     return _round(_cpi(spark, d), "cpi_index")
@@ -203,7 +209,7 @@ m AS (SELECT x.roaster, x.quarter, l.lag, b.base_price, x.index / 100 - 1 AS ris
 pt AS (SELECT roaster, quarter, lag, base_price, rise * 100 AS retail_change_pct, base_price * rise AS retail_change_rs, cost - base_cost AS cost_change_rs, (cost / base_cost - 1) * 100 AS cost_change_pct,
          base_price * rise * 100 / (cost - base_cost) AS rupee_pass_through_pct, rise * 100 / (cost / base_cost - 1) AS percent_pass_through_pct FROM m)"""
 _PT = ["base_price", "retail_change_pct", "retail_change_rs", "cost_change_rs", "cost_change_pct", "rupee_pass_through_pct", "percent_pass_through_pct"]
-_PTSQL = ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in _PT)
+_PTSQL = ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in _PT) + ", abs(cost_change_rs) >= 10.0 AS reliable"
 
 
 @query(f"WITH RECURSIVE {PASS} SELECT roaster, quarter, lag, {_PTSQL} FROM pt")
@@ -247,10 +253,14 @@ def distributed_lag(spark, d):
     return _round(fit.where("term like 'dcost%' or term = 'sum'").select("term", "coef", "se", "ci_low", "ci_high", "n"), "coef", "se", "ci_low", "ci_high")
 
 
-@query(f"WITH {ITEMS} SELECT round(regr_intercept(ln(ppg), ln(size_grams)), 6) AS const, round(regr_slope(ln(ppg), ln(size_grams)), 6) AS ln_size, regr_count(ln(ppg), ln(size_grams))::BIGINT AS n, round(regr_r2(ln(ppg), ln(size_grams)), 6) AS r2 FROM items")
+@query(f"""WITH {ITEMS}, z AS (SELECT ln(ppg) AS y, ln(size_grams) AS x FROM items),
+b AS (SELECT regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0, avg(x) AS mx, regr_sxx(y, x) AS sxx, count(*) AS n, regr_r2(y, x) AS r2 FROM z),
+e AS (SELECT sum(((x - mx) * (y - b0 - b1 * x)) ** 2) AS s1, sum(((1 / n::DOUBLE - mx * (x - mx) / sxx) * (y - b0 - b1 * x)) ** 2) AS s0 FROM z, b)
+SELECT round(b0, 6) AS const, round(b1, 6) AS ln_size, round(sqrt(n / (n - 2.0) * s0), 6) AS se_const, round(sqrt(n / (n - 2.0) * s1) / sxx, 6) AS se_ln_size, n::BIGINT AS n, round(r2, 6) AS r2 FROM b, e""")
 def ols_hc1(spark, d):
     fit = R.ols(_items(spark, d).select(F.ln("ppg").alias("y"), F.array(F.lit(1.0), F.ln("size_grams")).alias("x")), ["const", "ln_size"])
-    return _round(fit.groupBy("n", "r2").pivot("term", ["const", "ln_size"]).agg(F.first("coef")), "const", "ln_size", "r2")
+    wide = fit.groupBy("n", "r2").pivot("term", ["const", "ln_size"]).agg(F.first("coef").alias("b"), F.first("se").alias("se"))
+    return _round(wide.select(F.col("const_b").alias("const"), F.col("ln_size_b").alias("ln_size"), F.col("const_se").alias("se_const"), F.col("ln_size_se").alias("se_ln_size"), "n", "r2"), "const", "ln_size", "se_const", "se_ln_size", "r2")
 
 
 @query(f"""WITH {ITEMS}, z AS (SELECT ln(ppg) AS y, ln(size_grams) AS x, roaster AS g FROM items),

@@ -93,7 +93,12 @@ def html_strip_tags(spark, d):
     return _t(spark, d, "documents").select("doc_id", X.strip_tags(F.col("text")).alias("clean"))
 
 
-@query()
+_VISIBLE = r"""regexp_replace(regexp_replace(coalesce(text, ''), '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"""
+for _name, _sign in {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&amp;": "&"}.items():
+    _VISIBLE = f"replace({_VISIBLE}, '{_name}', '{_sign}')"
+
+
+@query(rf"SELECT doc_id, trim(regexp_replace({_VISIBLE}, '[\s\x{{0085}}\x{{00a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x0b]+', ' ', 'g')) AS visible FROM documents")
 def html_visible_text(spark, d):
     return _t(spark, d, "documents").select("doc_id", X.visible_text(F.col("text")).alias("visible"))
 

@@ -48,6 +48,19 @@ def write_all(spark: SparkSession, tables: dict[str, DataFrame], root: str, priv
                     fs.delete(p, True)
 
 
+def write_csv(df: DataFrame, path: str, private: tuple[str, ...] = PRIVATE) -> None:
+    """One CSV with a header, for small tables that people read; private columns are refused."""
+    if bad := [c for c in df.columns if c in private]:
+        raise ValueError(f"private columns: {bad}")
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+
+
+def with_private(df: DataFrame, text: DataFrame, keys: list[str], private: tuple[str, ...] = PRIVATE) -> DataFrame:
+    """df with its private columns again, from the table that split_private made; blank where it has none."""
+    there = [c for c in private if c in text.columns]
+    return df.drop(*there).join(text.select(*keys, *there), keys, "left").fillna("", there)
+
+
 def dead_letters(rows: DataFrame, path: str) -> None:
     """Appends rejected rows as JSON lines."""
     rows.withColumn("rejected_at", F.current_timestamp()).write.mode("append").json(path)
