@@ -179,7 +179,7 @@ def valid_products_json(body: Column) -> Column:
 
 def live_roasters(final: DataFrame, counted: DataFrame) -> DataFrame:
     """final with archive_urls (the addresses that were counted, in order) and live_url (the last listing address, which is the current one)."""
-    parts = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), r"\|"), F.trim), lambda u: u != "")
+    parts = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), r"\|"), lambda u: F.trim(u)), lambda u: u != "")
     out = final.join(counted.select("roaster", "archive_urls_counted"), "roaster")
     return out.withColumns({"archive_urls": parts("archive_urls_counted"), "live_url": F.try_element_at(parts("archive_listing_urls"), F.lit(-1))}).drop("archive_urls_counted")
 

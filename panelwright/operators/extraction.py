@@ -20,7 +20,11 @@ class Provider(Protocol):
     def __call__(self, batch: list[tuple[str, str]]) -> dict[str, str]: ...
 
 
-class Retryable(Exception):
+class Failed(Exception):
+    """The provider can't be used: no key, no quota, no network."""
+
+
+class Retryable(Failed):
     """A failure that is worth another try."""
 
 
@@ -38,11 +42,13 @@ def cache_key(provider: str, model: str, prompt: Column) -> Column:
     return F.sha2(F.concat_ws("\0", F.lit(provider), F.lit(model), prompt), 256)
 
 
-def answers(rows: DataFrame, ref: str, prompt: str, provider: Provider, *, valid: Callable[[str], bool] = bool, batch: int = 5, calls: int | None = None) -> DataFrame:
+def answers(rows: DataFrame, ref: str, prompt: str, provider: Provider, *, valid: Callable[[str], bool] = bool, batch: int = 5, calls: int | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """ref, answer, status (`ok`, `ok_after_retry`, `invalid_or_missing`, `pending`) for each row.
 
-    Within a partition rows go out in batches; items without a valid answer go out once more, alone. After
-    `calls` calls of a partition the rest is left `pending`; a call that fails for good leaves its items and the rest so.
+    Rows go out in batches; items without a valid answer go out once more, alone. `calls` is the number of calls
+    of all tasks together: the rows that they can reach, in order of ref, are asked for in one task, and what
+    is left is `pending`. A call that fails for good (Failed, OSError or RuntimeError, after the waits of with_backoff) leaves
+    its items and those after it in its task pending; errors of the program itself are raised.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,8 +60,8 @@ def answers(rows: DataFrame, ref: str, prompt: str, provider: Provider, *, valid
                 return None
             left = left if left is None else left - 1
             try:
-                return {k: v for k, v in (with_backoff(lambda: provider(items), sleep=lambda _: None) or {}).items() if valid(v)}
-            except Exception:
+                return {k: v for k, v in (with_backoff(lambda: provider(items), sleep=sleep) or {}).items() if valid(v)}
+            except (Failed, OSError, RuntimeError):
                 broken = True
                 return None
 
@@ -76,7 +82,14 @@ def answers(rows: DataFrame, ref: str, prompt: str, provider: Provider, *, valid
                         out.append((item[0], again.get(item[0]), "ok_after_retry" if item[0] in again else "invalid_or_missing"))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(3)], names=["ref", "answer", "status"])
 
-    return rows.select(F.col(ref).cast("string").alias("ref"), prompt).mapInArrow(run, "ref string, answer string, status string")
+    asked = rows.select(F.col(ref).cast("string").alias("ref"), F.col(prompt).alias("prompt"))
+    kind = "ref string, answer string, status string"
+    if calls is None:
+        return asked.mapInArrow(run, kind)
+    first = asked.orderBy("ref", "prompt").limit(calls * batch)  # all that the calls can reach
+    seen = first.select("ref").distinct()
+    rest = asked.join(seen, "ref", "left_anti").select("ref", F.lit(None).cast("string").alias("answer"), F.lit("pending").alias("status"))
+    return first.coalesce(1).mapInArrow(run, kind).unionByName(rest)
 
 
 def cached_answers(rows: DataFrame, cache: DataFrame, ref: str, prompt: str, provider: Provider, *, name: str, model: str, **kw) -> tuple[DataFrame, DataFrame]:
