@@ -17,12 +17,6 @@ def digits_id(c: Column, length: int) -> Column:
     return F.when(F.coalesce(clean, F.lit(False)), c).when(found != "", found)
 
 
-def any_digits(c: Column) -> Column:
-    """All digits before a decimal part; null where there are none."""
-    found = F.regexp_replace(F.regexp_replace(c, r"\.0*\s*$", ""), "[^0-9]", "")
-    return F.when(found != "", found)
-
-
 def clean_quarter(c: Column) -> Column:
     """`2024Q3` from `2024q3`, `2024 Q3`, `2024-Q3`, `Q3 2024`; null where year or quarter number is missing."""
     year = F.regexp_extract(c, r"(?<![0-9])([0-9]{4})(?![0-9])", 1)

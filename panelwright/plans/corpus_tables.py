@@ -132,5 +132,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("holder_id is not null and row_id is not null").select(F.col("doc").alias("payload_id"), F.col("holder_id").alias("product_id"), F.col("row_id").alias("variant_id"), F.col("title").alias("variant_title")).distinct()
 
 
+P7_SQL = r"""
+WITH RECURSIVE p AS (SELECT DISTINCT payload_id, trim(payload) AS t FROM page_payloads WHERE payload IS NOT NULL),
+j AS (SELECT payload_id, CASE WHEN starts_with(t, '{') OR starts_with(t, '[') THEN t WHEN starts_with(t, 'var meta = ') THEN split_part(substr(t, 12), ';' || chr(10), 1) END AS s FROM p),
+n AS MATERIALIZED (SELECT payload_id, s, x.key, x.value, x.type, x.id, x.parent FROM (SELECT * FROM j WHERE json_valid(s)), json_tree(s) x),
+o AS MATERIALIZED (SELECT *, json_exists(value, '$.variants') AS holds, NOT json_exists(value, '$.variants') AND NOT json_exists(value, '$.id') AND (json_exists(value, '$.edges') OR json_exists(value, '$.nodes') OR json_exists(value, '$.node')) AS wraps FROM n),
+w AS (SELECT v.payload_id, v.s, v.parent AS holder, v.id, v.type, v.value, v.wraps FROM o v WHERE v.key = 'variants'
+  UNION ALL SELECT c.payload_id, c.s, w.holder, c.id, c.type, c.value, c.wraps FROM w JOIN o c ON c.payload_id = w.payload_id AND c.s = w.s AND c.parent = w.id AND (w.type = 'ARRAY' OR (w.type = 'OBJECT' AND w.wraps AND c.key IN ('edges', 'nodes', 'node')))),
+r AS (SELECT w.payload_id, h.value AS hv, w.value AS v FROM w JOIN o h ON h.payload_id = w.payload_id AND h.s = w.s AND h.id = w.holder WHERE w.type = 'OBJECT' AND NOT w.wraps),
+d AS (SELECT payload_id, nullif(regexp_extract(regexp_replace(json_extract_string(hv, '$.id'), '\.0*$', ''), '([0-9]+)[^0-9]*$', 1), '') AS product_id, nullif(regexp_extract(regexp_replace(json_extract_string(v, '$.id'), '\.0*$', ''), '([0-9]+)[^0-9]*$', 1), '') AS variant_id, json_extract_string(v, '$.public_title') AS pt, json_extract_string(v, '$.title') AS ti,
+  CASE WHEN json_type(v, '$.options') = 'ARRAY' THEN array_to_string(json_extract_string(v, '$.options[*]'), ' / ') ELSE json_extract_string(v, '$.options') END AS op FROM r)
+SELECT DISTINCT payload_id, product_id, variant_id, CASE WHEN trim(pt) <> '' THEN pt WHEN trim(ti) <> '' THEN ti ELSE coalesce(op, '') END AS variant_title FROM d WHERE product_id IS NOT NULL AND variant_id IS NOT NULL
+"""
+
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_spikes": p3_spikes, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_grams": p6_grams, "p7_found": p7_found}
-ORACLES = {"p2_found": P2_SQL, "p5_found": P5_SQL, "p5_grid": P5_GRID_SQL}
+ORACLES = {"p2_found": P2_SQL, "p5_found": P5_SQL, "p5_grid": P5_GRID_SQL, "p7_found": P7_SQL}

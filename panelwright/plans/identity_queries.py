@@ -63,9 +63,16 @@ _EXACT = """SELECT b.roaster, b.break_quarter, b.product_id AS before_id, a.prod
   USING (roaster, break_quarter, norm, nth)"""
 
 
-@query(f"WITH {_SIDES} {_EXACT}")
+_LISTED = """b1 AS (SELECT roaster, break_quarter, regexp_extract(before_id, '[0-9]{13}') AS product_id, min(before_title) AS title FROM match_candidates WHERE regexp_matches(before_id, '[0-9]{13}') AND before_title IS NOT NULL GROUP BY ALL),
+a1 AS (SELECT roaster, break_quarter, regexp_extract(after_id, '[0-9]{13}') AS product_id, min(after_title) AS title FROM match_candidates WHERE regexp_matches(after_id, '[0-9]{13}') AND after_title IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"WITH {_LISTED} {_EXACT}")
 def match_exact(spark, d):
-    return I.exact_pairs(*_sides(spark, d))
+    """Equal titles of the listings before and after a break, one to one."""
+    m = _t(spark, d, "match_candidates")
+    side = lambda s: m.select("roaster", "break_quarter", digits_id(F.col(f"{s}_id"), 13).alias("product_id"), F.col(f"{s}_title").alias("t")).where("product_id is not null and t is not null").groupBy("roaster", "break_quarter", "product_id").agg(F.min("t").alias("product_title"))
+    return I.exact_pairs(side("before"), side("after"))
 
 
 @query()
@@ -113,12 +120,13 @@ def evidence_check(spark, d):
     return e.select("item_id", V.evidence_errors(F.lit("x"), F.col("answer"), F.col("passage")).alias("error"))
 
 
-@query("""WITH l AS (SELECT doc_id, count(DISTINCT rater) AS r, min(lower(trim(subject_area))) AS g, max(lower(trim(subject_area))) AS p FROM subject_labels GROUP BY 1)
-SELECT 'area' AS field, count(*) AS n, round(avg((g = p)::INT), 3) AS accuracy, count(*) FILTER (WHERE g <> 'unknown') AS gold_known, round(avg((g = p)::INT) FILTER (WHERE g <> 'unknown'), 3) AS found, NULL::DOUBLE AS invented FROM l""")
+@query("""WITH x AS (SELECT doc_id, coalesce(rater, '') AS rater, coalesce(lower(trim(subject_area)), '') AS a FROM subject_labels), l AS (SELECT doc_id, arg_min(a, rater || '|' || a) AS g, arg_max(a, rater || '|' || a) AS p FROM x GROUP BY 1)
+SELECT 'area' AS field, count(*) AS n, round(avg((g = p)::INT), 3) AS accuracy, count(*) FILTER (WHERE g NOT IN ('', 'unknown')) AS gold_known, round(avg((g = p)::INT) FILTER (WHERE g NOT IN ('', 'unknown')), 3) AS found, round(avg((p NOT IN ('', 'unknown'))::INT) FILTER (WHERE g IN ('', 'unknown')), 3) AS invented FROM l""")
 def label_scores(spark, d):
-    lab = _t(spark, d, "subject_labels").groupBy("doc_id")
-    area = F.lower(F.trim("subject_area"))
-    return V.field_scores(lab.agg(F.min(area).alias("area")), lab.agg(F.max(area).alias("area")), ["doc_id"], {"area": "closed"})
+    """How often the last rater of a document says what the first one does."""
+    area, rater = F.coalesce(F.lower(F.trim("subject_area")), F.lit("")), F.coalesce("rater", F.lit(""))
+    lab = _t(spark, d, "subject_labels").select("doc_id", area.alias("area"), F.concat(rater, F.lit("|"), area).alias("by")).groupBy("doc_id")
+    return V.field_scores(lab.agg(F.min_by("area", "by").alias("area")), lab.agg(F.max_by("area", "by").alias("area")), ["doc_id"], {"area": "closed"})
 
 
 @query("""WITH s AS (SELECT source AS g, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1), b AS (SELECT g, n, least(5, n) AS base, n - least(5, n) AS spare FROM s),
