@@ -30,10 +30,17 @@ def range_split(items: DataFrame, index: DataFrame, pre: tuple[str, ...] = CONFI
 def size_cuts(changes: DataFrame, confirmed: DataFrame, variants: DataFrame, shock: str = CONFIG.shock_start) -> DataFrame:
     """roaster, product_id, product_title, variant_id, from_quarter, to_quarter, size_before, size_after, ppg_change_log: cuts of a variant's size from the shock on that a person has confirmed as the same product.
 
-    changes: as changes.variant_size_changes and mark_splits give them; confirmed: product_id, the list kept by
+    changes: as changes.variant_size_changes and mark_splits give them, or the rows of a table of variants and
+    products with level, sizes_before and sizes_after as texts; confirmed: product_id, the list kept by
     hand; variants: roaster, variant_id, quarter, ppg. Cuts without a price before and after are left out.
     """
-    c = changes.where((F.col("confidence") == "high") & ~F.coalesce("crosses_product_split", F.lit(False)) & (F.col("to_quarter") >= shock) & (F.col("size_after") < F.col("size_before")))
+    c = changes.where("level = 'variant'") if "level" in changes.columns else changes
+    for one in ("before", "after"):
+        if f"size_{one}" not in c.columns:
+            c = c.withColumn(f"size_{one}", F.col(f"sizes_{one}").try_cast("double"))
+    if "product_title" not in c.columns:
+        c = c.withColumn("product_title", F.lit(None).cast("string"))
+    c = c.where((F.col("confidence") == "high") & ~F.coalesce("crosses_product_split", F.lit(False)) & (F.col("to_quarter") >= shock) & (F.col("size_after") < F.col("size_before")))
     c = c.join(confirmed.select("product_id").distinct(), "product_id", "left_semi").select("roaster", "product_id", "product_title", "variant_id", "from_quarter", "to_quarter", "size_before", "size_after")
     one = variants.groupBy("roaster", "variant_id", "quarter").agg(F.min("ppg").alias("ppg"))
     at = lambda name: one.select("roaster", "variant_id", F.col("quarter").alias(f"{name}_quarter"), F.col("ppg").alias(name))
