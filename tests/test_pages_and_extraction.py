@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +27,29 @@ def test_match_handle(spark, slug, handle, how):
     assert (got["handle"], got["handle_source"]) == (handle, how)
 
 
+def test_match_handles_against_brute_force(spark):
+    rng = random.Random(3)
+    words = ["a", "b", "ab", "a1", ""]
+    text = lambda: "-".join(rng.choice(words) for _ in range(rng.randint(1, 4)))
+    products, handles = ([(rng.choice(["s", "t", None]), text()) for _ in range(n)] for n in (300, 60))
+    extends = lambda x, y: x.startswith(y + "-")
+    want = []
+    for s, p in products:
+        own = {h for t, h in handles if t == s}
+        near = {h for h in own if extends(h, p) or extends(p, h)}
+        want.append((s, p, p, "exact") if p in own else (s, p, near.pop(), "prefix") if len(near) == 1 else (s, p, None, "unmapped"))
+    got = P.match_handles(spark.createDataFrame([*products, ("s", None)], "shop string, slug string"), spark.createDataFrame([*handles, ("s", None)], "shop string, handle string"), "shop", "slug")
+    assert Counter(map(tuple, got.collect())) == Counter([*want, ("s", None, None, "unmapped")])
+    assert {how for *_, how in want} == {"exact", "prefix", "unmapped"}
+
+
+def test_match_handles_broadcasts_nothing(spark):
+    """The planner guesses sizes by the file; tables of few bytes there gave broadcasts that the driver could not hold."""
+    few = spark.range(1).select(F.lit("s").alias("shop"), F.concat(F.lit("house-"), F.col("id").cast("string")).alias("slug"))
+    plan = P.match_handles(few, few.withColumnRenamed("slug", "handle"), "shop", "slug")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" in plan
+
+
 PAGE = """<html><head><meta property="og:title" content="Attikan"><meta property="og:description" content="A bag of 250 g">
 <script type="application/ld+json">{"@type":"Product","name":"Attikan","description":"dark"}</script></head>
 <script>var x = {"variants":[{"id":1,"options":["Whole Bean","500g"]},{"id":2,"weight":300},{"id":3,"options":["Fine"]},{"id":4}]}; var y = {"variants": [{"id":1,"options":["1 kg"]}]; </script>"""
