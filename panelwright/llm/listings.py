@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from panelwright.functions.text import GENERIC_WORDS, PLACE_FILLERS
 from panelwright.session import Scratch
@@ -33,14 +37,22 @@ ATTRIBUTES = [
 #: A lot number; a weight as number or word with its unit (fixed values).
 LOT = r"(?:lot(?: no\.?)? ?#? ?|# ?)(\d+)"
 SIZE = r"(?<!#)(?<!# )(?<!lot )(?<!\bno )(?<!\bno\. )(?:(\d+(?:\.\d+)?|\d/\d|half|quarter|one) ?(kilograms?|kilos?|kgs?|grams?|gms?|gr(?! ?\.)|g))"
+#: A part of what a pattern matches, where the pattern itself is none: where no such part is in a title, the pattern need not be tried.
+PARTS = {
+    "medium-dark": ["dark"], "medium": ["mid", "medium"], "light": ["light"], "dark": ["dark"], "anaerobic": ["anaerobic"], "honey": ["honey"], "monsooned": ["monsoon"],
+    "washed": ["washed", "wet process"], "natural": ["natural", "dry process", "sun"], "aaa": ["aaa"], "aa": ["aa"], "ab": ["ab"], "eb": ["eb", "extra bold"], "pb": ["berry", "pb"],
+    "sl9": ["sl"], "s795": ["795"],
+}
 #: Letter pairs of a word that one slip of spelling destroys at most, and letters that it changes; shorter words have no slips.
 SLIP, LETTERS, SHORT = 3, 2, 5
+#: Words of a seller that meet in single letter pairs at most.
+MANY = 1000
 #: Two titles match if the words that both have weigh so much of the lighter one's, and so much of the heavier one's.
 CONTAINED, HEAVY = 0.6, 0.15
 
 
 def _words(pattern: str) -> str:
-    return rf"(?i)(?<![\w])(?:{pattern})(?![\w])"
+    return rf"(?<![\w])(?:{pattern})(?![\w])"
 
 
 def title_profile(title: Column) -> tuple[Column, Column]:
@@ -49,45 +61,71 @@ def title_profile(title: Column) -> tuple[Column, Column]:
     Case, order, punctuation and units don't matter; words that any listing may have (coffee, estate and the
     like) are left out; a null title has neither.
     """
-    s = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\s+", " ")
+    lower = F.lower(F.coalesce(title, F.lit("")))
+    # titles are lower case from here on; most have no blanks but single spaces
+    s = F.when(lower.rlike(r"(?U)[^\S ]|  "), F.regexp_replace(lower, r"(?U)\s+", " ")).otherwise(lower)
+    profile = F.transform(F.array(s), _profile)[0]  # a lambda, so that each part is computed once
+    return profile["attributes"], profile["words"]
+
+
+def _profile(s: Column) -> Column:
+    """struct(attributes, words) of a lower-case title."""
+    has = lambda parts: reduce(or_, [s.contains(x) for x in parts])
     tokens = []
     for kind in dict.fromkeys(k for k, _, _ in ATTRIBUTES):
         value = F.when(F.lit(False), F.lit(""))
         for _, name, pattern in [a for a in ATTRIBUTES if a[0] == kind]:
-            value = value.when(s.rlike(_words(pattern)), F.lit(f"{kind}:{name}"))
+            value = value.when(has(PARTS.get(name, [name])) & s.rlike(_words(pattern)), F.lit(f"{kind}:{name}"))
         tokens.append(value)
-    lot = F.regexp_extract(s, _words(LOT), 1)
-    tokens.append(F.when(lot != "", F.concat(F.lit("lot:"), F.regexp_replace(lot, r"^0+(?=\d)", ""))))
-    number, unit = (F.regexp_extract(s, rf"(?i)(?<![\w./]){SIZE}(?![\w])", i) for i in (1, 2))
-    amount = F.when(number == "half", 0.5).when(number == "quarter", 0.25).when(number == "one", 1.0).when(number.contains("/"), F.try_divide(F.substring(number, 1, 1).try_cast("double"), F.substring(number, 3, 1).try_cast("double"))).otherwise(number.try_cast("double"))
-    grams = F.round(F.when(unit.startswith("k"), amount * 1000).otherwise(amount)).cast("long")
-    tokens.append(F.when(grams.isNotNull(), F.concat(F.lit("size:"), grams.cast("string"))))
+    lot = F.when(has(["#", "lot"]), F.regexp_extract(s, _words(LOT), 1)).otherwise("")
+    tokens.append(F.transform(F.array(lot), lambda x: F.when(x != "", F.concat(F.lit("lot:"), F.regexp_replace(x, r"^0+(?=\d)", ""))))[0])
+    tokens.append(F.transform(F.array(F.regexp_extract(s, rf"(?<![\w./]){SIZE}(?![\w])", 0)), _size)[0])
     spoken = "|".join([*(pattern for _, _, pattern in ATTRIBUTES), LOT, SIZE])
-    s = F.regexp_replace(s, rf"(?i)(?<![\w./]){SIZE}(?![\w])|" + _words(spoken), " ")
-    words = F.array_sort(F.array_distinct(F.filter(F.split(s, r"(?U)[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*GENERIC_WORDS, *PLACE_FILLERS))))
-    return F.array_sort(F.array_compact(F.array(*tokens))), words
+    bare = F.regexp_replace(s, rf"(?<![\w./]){SIZE}(?![\w])|" + _words(spoken), " ")
+    words = F.array_sort(F.array_distinct(F.filter(F.split(bare, r"(?U)[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*GENERIC_WORDS, *PLACE_FILLERS))))
+    return F.struct(F.array_sort(F.array_compact(F.array(*tokens))).alias("attributes"), words.alias("words"))
+
+
+def _size(said: Column) -> Column:
+    """The token of a weight as a title says it; null for none."""
+    number, unit = F.regexp_extract(said, r"^[\d./]+|half|quarter|one", 0), F.regexp_extract(said, r"[a-z]+$", 0)
+    amount = F.when(number == "", None).when(number == "half", 0.5).when(number == "quarter", 0.25).when(number == "one", 1.0).when(number.contains("/"), F.try_divide(F.substring(number, 1, 1).try_cast("double"), F.substring(number, 3, 1).try_cast("double"))).otherwise(number.try_cast("double"))
+    grams = F.round(F.when(unit.startswith("k"), amount * 1000).otherwise(amount)).cast("long")
+    return F.when(said != "", F.when(grams.isNotNull(), F.concat(F.lit("size:"), grams.cast("string"))))
+
+
+def _letter_pairs(word: Column) -> Column:
+    """The letter pairs of a word, numbered where they repeat."""
+    chars = F.concat(F.lit("^"), word, F.lit("$"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(chars) - 1), lambda i: F.substring(chars, i, F.lit(2)))
+    again = lambda ps: F.transform(ps, lambda p, i: F.concat(p, F.size(F.filter(F.slice(ps, 1, i), lambda q: q == p)).cast("string")))
+    return F.transform(F.array(pairs), lambda ps: F.when(F.size(F.array_distinct(ps)) == F.size(ps), F.transform(ps, lambda p: F.concat(p, F.lit("0")))).otherwise(again(ps)))[0]
+
+
+def _without_letter(words: Column) -> Column:
+    """All that is left of some words when one of their letters is taken out."""
+    return F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
 
 
 def _slips(words: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): different words of one seller (`seller`, id, word) that a slip of spelling turns into each other, both ways.
 
-    Tokens of a word are its letter pairs, numbered where they repeat. They are ordered by rarity; two words
-    that share all but SLIP of the longer one's tokens share one of the SLIP + 1 rarest of each.
+    Tokens of a word are its letter pairs, numbered where they repeat. In any one order of them, two words that
+    share all but SLIP of the longer one's tokens share one of the SLIP + 1 first of each. Words of a seller with
+    many meet in what is left of them without up to LETTERS letters instead: few others have the same.
     """
-    chars = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(chars) - 1), lambda i: F.substring(chars, i, F.lit(2)))
-    numbered = F.transform(pairs, lambda p, i: F.concat(p, F.size(F.filter(F.slice(pairs, 1, i), lambda q: q == p)).cast("string")))
-    grams = words.where(F.length("word") >= SHORT).select("seller", "id", "word", F.explode(numbered).alias("g"))
-    rarity = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = grams.join(rarity, "g").groupBy("seller", "id", "word").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
-    ranked = ranked.select("seller", "id", "word", F.transform("gs", lambda x: x["g"]).alias("gs"), F.size("gs").alias("n"))
-    prefix = ranked.select("seller", "id", "word", "gs", "n", F.posexplode(F.slice("gs", 1, SLIP + 1)).alias("i", "g"))
-    x, y = prefix.alias("x"), prefix.alias("y")
-    most = F.greatest(F.col("x.n"), F.col("y.n"))
-    room = 1 + F.least(F.col("x.n") - F.col("x.i") - 1, F.col("y.n") - F.col("y.i") - 1) + F.least(F.col("x.i"), F.col("y.i"))
-    met = x.join(y, (F.col("x.g") == F.col("y.g")) & F.col("x.seller").eqNullSafe(F.col("y.seller")) & (F.col("x.id") < F.col("y.id")))
-    met = met.where((F.abs(F.col("x.n") - F.col("y.n")) <= LETTERS) & (room >= most - SLIP))  # length and positional filters
-    met = met.where(F.size(F.array_intersect("x.gs", "y.gs")) >= most - SLIP).where(F.levenshtein(F.col("x.word"), F.col("y.word"), LETTERS) >= 0)
+    sized = words.where(F.length("word") >= SHORT).select("seller", "id", "word", F.length("word").alias("n"), F.count(F.lit(1)).over(W.partitionBy("seller")).alias("many"))
+    ordered = F.array_sort(F.transform(_letter_pairs(F.col("word")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    less = [F.array("word")]
+    for _ in range(LETTERS):
+        less.append(_without_letter(less[-1]))
+    keys = F.when(F.col("many") > MANY, F.array_distinct(F.concat(*less))).otherwise(F.transform(F.slice(ordered, 1, SLIP + 1), lambda x: x["g"]))
+    met = sized.select("seller", "id", "word", "n", F.explode(keys).alias("k")).withColumn("k", F.xxhash64("seller", F.col("seller").isNull(), "k"))
+    x, y = met.alias("x"), met.alias("y")
+    near = (F.col("x.id") < F.col("y.id")) & (F.abs(F.col("x.n") - F.col("y.n")) <= LETTERS) & (F.levenshtein(F.col("x.word"), F.col("y.word"), LETTERS) >= 0)
+    shared = F.size(F.array_intersect(_letter_pairs(F.col("x.word")), _letter_pairs(F.col("y.word"))))
+    # tokens are only compared where the letters are near
+    met = x.join(y, (F.col("x.k") == F.col("y.k")) & F.when(near, shared >= F.greatest("x.n", "y.n") + 1 - SLIP).otherwise(False))
     one = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     both, _ = scratch.write(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     return both
@@ -103,15 +141,14 @@ def _contained(sets: DataFrame, scratch: Scratch) -> DataFrame:
     weigh = lambda ws: F.aggregate(ws, F.lit(0.0), lambda t, w: t + w["weight"])
     sets = sets.withColumn("total", weigh(F.col("ws"))).where("total > 0")
     at = sets.select("blk", "id", "ws", "total", F.posexplode("ws").alias("i", "w"))
-    rest = lambda p: F.col(f"{p}.total") - weigh(F.slice(F.col(f"{p}.ws"), F.lit(1), F.col(f"{p}.i")))
-    own = at.alias("x").where(rest("x") >= CONTAINED * F.col("x.total") - 1e-9)
+    at = at.select("blk", "id", "ws", "total", "w.word", (F.col("total") - weigh(F.slice("ws", F.lit(1), F.col("i")))).alias("rest"))
+    own = at.alias("x").where(F.col("x.rest") >= CONTAINED * F.col("x.total") - 1e-9)
     other = at.alias("y")
     less = (F.col("x.total") < F.col("y.total")) | (F.col("x.total") == F.col("y.total")) & (F.col("x.id") < F.col("y.id"))
-    met = own.join(other, (F.col("x.blk") == F.col("y.blk")) & (F.col("x.w.word") == F.col("y.w.word")) & less & (F.col("x.id") != F.col("y.id")))
     # what both can share at most, from here on, if this is the first word that they share
-    met = met.where((F.least(rest("x"), rest("y")) >= CONTAINED * F.col("x.total") - 1e-9) & (F.col("x.total") >= HEAVY * F.col("y.total")))
-    shared = weigh(F.filter(F.col("x.ws"), lambda w: F.exists(F.col("y.ws"), lambda v: v["word"] == w["word"])))
-    met = met.withColumn("shared", shared).where((F.col("shared") >= CONTAINED * F.col("x.total") - 1e-9) & (F.col("shared") >= HEAVY * F.col("y.total")))
+    room = (F.least("x.rest", "y.rest") >= CONTAINED * F.col("x.total") - 1e-9) & (F.col("x.total") >= HEAVY * F.col("y.total"))
+    met = own.join(other, (F.col("x.blk") == F.col("y.blk")) & (F.col("x.word") == F.col("y.word")) & less & (F.col("x.id") != F.col("y.id")) & room)
+    met = met.withColumn("shared", weigh(F.array_intersect("x.ws", "y.ws"))).where((F.col("shared") >= CONTAINED * F.col("x.total") - 1e-9) & (F.col("shared") >= HEAVY * F.col("y.total")))
     one = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     both, _ = scratch.write(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     return both

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm import groups as G
 from panelwright.llm import leaks as K
+from panelwright.llm import listings as L
 from panelwright.llm import subjects as S
 from panelwright.llm.groups import link_groups
 from panelwright.llm.listings import same_products, star_clusters, title_profile
@@ -111,6 +112,29 @@ def test_two_slips_meet_over_the_name_itself(spark):
     assert products(spark, rows) == [["1", "2"], ["3"], ["4"]]
 
 
+def test_slips_of_a_large_seller(spark, monkeypatch):
+    """Words of a large seller meet in what is left of them, of a small one in letter pairs: both find all slips."""
+    rng = np.random.default_rng(5)
+    names = {"".join(rng.choice(list("abco"), rng.integers(5, 8))) for _ in range(150)}
+    rows = [(s, i + 1000 * k, w) for k, s in enumerate(["large", None]) for i, w in enumerate(sorted(names) if s else sorted(names)[:60])]
+    words = spark.createDataFrame(rows, "seller string, id long, word string")
+    monkeypatch.setattr(L, "MANY", 100)
+
+    def pairs(w):
+        seen = [f"^{w}$"[i : i + 2] for i in range(len(w) + 1)]
+        return {(p, seen[:i].count(p)) for i, p in enumerate(seen)}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = list(itertools.accumulate(enumerate(b), lambda left, jy: min(left + 1, row[jy[0] + 1] + 1, row[jy[0]] + (x != jy[1])), initial=i))
+        return row[-1]
+
+    want = {(i, j) for (s, i, a), (t, j, b) in itertools.permutations(rows, 2) if s == t and len(pairs(a) & pairs(b)) >= max(len(a), len(b)) + 1 - L.SLIP and edits(a, b) <= L.LETTERS}
+    assert {tuple(r) for r in L._slips(words, Scratch(spark, "test")).collect()} == want
+    assert any(i < 1000 for i, _ in want) and any(i >= 1000 for i, _ in want)
+
+
 def test_star_of_slips(spark):
     v = spark.createDataFrame([(i, 1) for i in range(1, 6)], "id long, weight long")
     e = spark.createDataFrame([(1, 2), (2, 1), (3, 2), (2, 3), (4, 2), (2, 4)], "a long, b long")
