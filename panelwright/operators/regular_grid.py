@@ -46,13 +46,6 @@ def _series(readings: DataFrame, source: Column, period: Column, order: Column,
     return base.groupBy("s", "t").agg(F.max_by("x", F.struct("o", "x")).alias("x"))
 
 
-def marked_periods(readings: DataFrame, source: Column, period: Column) -> DataFrame:
-    """source, period, observed: the grid of regular_grid alone, one row per period from a source's first to its last reading."""
-    seen = readings.select(source.alias("s"), period.cast("int").alias("t")).where("t is not null").groupBy("s").agg(F.collect_set("t").alias("ts"))
-    grid = F.explode(F.sequence(F.array_min("ts"), F.array_max("ts"))).alias("period")
-    return seen.select(F.col("s").alias("source"), "ts", grid).select("source", "period", F.array_contains("ts", F.col("period")).alias("observed"))
-
-
 def _filled(season: int):
     """Grid rows of each source from its cells and its sums of products."""
     waves = _waves(season)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.ids import clean_quarter, digits_id, quarter_index, quarter_label
 from panelwright.operators.nested import holder_rows
-from panelwright.operators.regular_grid import marked_periods, read_timestamp, regular_grid
+from panelwright.operators.regular_grid import read_timestamp, regular_grid
 from panelwright.operators.snapshots import snapshot_changes
 from panelwright.operators.spikes import flag_spikes
 from panelwright.operators.units import common_grams
@@ -78,9 +78,8 @@ def p5_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """The quarters of the grid without a capture; they need no fit, so none is computed."""
-    c, quarter = _captures(spark, d)
-    return marked_periods(c, F.col("roaster"), quarter).where(~F.col("observed")).select(F.col("source").alias("roaster"), quarter_label(F.col("period")).alias("quarter"))
+    """The quarters that the whole operator, with its seasonal regression, lays out and fills because they have no capture."""
+    return p5_grid(spark, d).where(~F.col("observed")).select("roaster", "quarter")
 
 
 P5_SQL = """

@@ -15,6 +15,7 @@ from panelwright.operators.regular_grid import read_timestamp, regular_grid
 from panelwright.operators.snapshots import key_ordinals, snapshot_changes
 from panelwright.operators.spikes import flag_spikes
 from panelwright.operators.units import bare_numbers, common_grams, written_grams
+from panelwright.plans import corpus_tables
 
 DATA = "/root/testdata/sf0.001"
 
@@ -313,3 +314,11 @@ def test_all_values_at_any_depth(spark):
     got = {(r["doc"], r["holder_id"], r["row_id"], r["title"]) for r in holder_rows(df, F.col("doc"), F.col("body"))[1].collect()}
     assert got == {(1, "8", "81", "x"), (2, "7", "71", "low"), (4, "10", "9", "")}
     assert _walk([json.loads('{"b": [1, {"c": 2}], "a": "x"}')], "v")[-1][5].startswith('{"a":"x","b":[1,{"$":"')
+
+
+def test_gaps_come_from_the_whole_grid(spark, tmp_path):
+    """p5_found lays out and fills each source with the seasonal regression, as p5_grid does."""
+    spark.createDataFrame([("r", "20230215", 3), ("r", "2023-08-01T10:00:00", 5), (None, "20240101", 1)], "roaster string, served_ts string, variant_count int").write.parquet(str(tmp_path / "coverage_report.parquet"))
+    found = corpus_tables.p5_found(spark, str(tmp_path))
+    assert [tuple(r) for r in found.collect()] == [("r", "2023Q2")]
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
