@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from panelwright.session import Scratch
 
-#: Trees per forest, readings per tree, levels of a tree; readings of a source from which they are drawn.
-TREES, SAMPLE, DEPTH, POOL = 32, 128, 6, 1024
+#: Trees per forest, readings per tree between which its cuts are drawn and to which the sizes of its leaves are scaled, levels of a tree.
+TREES, SAMPLE, DEPTH = 32, 128, 6
 #: Rows of a source that are held in one task: a source with more is spread over chunks of its series. Profiles of chunks that are merged at once.
 CHUNK_ROWS, FAN = 50_000, 64
 #: Rows that are held at once.
@@ -41,6 +41,8 @@ NEAR = 4
 _BINS, _WIDTH = 1024, 0.002
 #: Width of the bins of a source's log readings, of which its level is the median.
 _LEVEL_WIDTH = 0.0002
+#: Bins of the scores of a source, one of which holds the score that a share MOST of its readings reaches; a power of two, so that scores are binned exactly.
+_SCORE_BINS = 1 << 16
 _FEATURES = 6
 
 
@@ -122,19 +124,25 @@ def _features(x: np.ndarray, period: np.ndarray, series: np.ndarray) -> dict:
     return {"f": f, "around": around, "off": off, "run": run, "first": new, "step": before}
 
 
+#: Mean path lengths among 0 to SAMPLE points, between which those of scaled sizes lie.
+_PATHS = _path(np.arange(SAMPLE + 1))
+
+
 def _grow(f: np.ndarray, start: np.ndarray, n: np.ndarray, seed: np.ndarray) -> dict:
-    """Forests of some sources at once: split feature, split value and the leaves' path lengths.
+    """Forests of some sources at once: split feature, split value and the leaves' depths.
 
     The drawn readings of a node stay side by side; each level moves those at or above the split value behind the others.
     """
     s, trees, inner = len(n), len(n) * TREES, (1 << DEPTH) - 1
     draw = np.arange(TREES * SAMPLE, dtype=np.uint64)
     pick = _mix(seed.astype(np.uint64)[:, None] + draw * np.uint64(0xD1342543DE82EF95))
+    # readings that are enough for all trees are dealt out; fewer are drawn again and again
+    pick = np.where((n >= TREES * SAMPLE)[:, None], draw, pick)
     rows = (start[:, None] + (pick % np.maximum(n, 1).astype(np.uint64)[:, None]).astype(np.int64)).reshape(-1)
     drawn = np.ascontiguousarray(f[np.minimum(rows, len(f) - 1)].T.astype(np.float32))  # a source without readings gets a forest that nothing uses
     flat, many = drawn.reshape(-1), drawn.shape[1]
     feature, value = np.zeros((trees, inner), np.int8), np.full((trees, inner), np.inf, np.float32)
-    leaf = np.zeros((trees, 1 << DEPTH), np.float32)
+    depth = np.full((trees, 1 << DEPTH), DEPTH, np.int8)
     noise = _mix(np.arange(trees, dtype=np.uint64)[:, None] % np.uint64(TREES) + np.repeat(seed.astype(np.uint64), TREES)[:, None] * np.uint64(3) + np.arange(2 * inner, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
     which = (noise[:, :inner] % np.uint64(_FEATURES)).astype(np.int8)
     where = ((noise[:, inner:] >> np.uint64(11)).astype(float) / float(1 << 53)).astype(np.float32)
@@ -149,9 +157,9 @@ def _grow(f: np.ndarray, start: np.ndarray, n: np.ndarray, seed: np.ndarray) ->
         cut = low + where[tree, node] * (high - low)
         cut = np.where(split, np.where(cut > low, cut, high), np.inf).astype(np.float32)
         feature[tree, node], value[tree, node] = feat, cut
-        # a node that is not split passes everything to its left; its path length goes to the leaf at the end of that way
+        # a node that is not split passes everything to its left; its depth goes to the leaf at the end of that way
         end = ~split
-        leaf[tree[end], ((node[end] + 1) << (DEPTH - level)) - (1 << DEPTH)] = level + _path(size[end])
+        depth[tree[end], ((node[end] + 1) << (DEPTH - level)) - (1 << DEPTH)] = level
         keep = np.repeat(split, size)
         right = (v >= np.repeat(cut, size))[keep]
         order, size, tree, node = order[keep], size[split], tree[split], node[split]
@@ -166,25 +174,33 @@ def _grow(f: np.ndarray, start: np.ndarray, n: np.ndarray, seed: np.ndarray) ->
         moved[np.where(right, begin + np.repeat(size - above, size) + seen - 1, np.arange(len(order)) - seen)] = order
         order, size = moved, np.stack([size - above, above], 1).reshape(-1)
         tree, node = np.repeat(tree, 2), np.stack([2 * node + 1, 2 * node + 2], 1).reshape(-1)
-    else:
-        leaf[tree, node - inner] = DEPTH + _path(size)
-    # a leaf that no sampled reading reached isolates at once
-    leaf = np.where(leaf == 0, DEPTH, leaf)
-    return {"feature": feature.reshape(s, TREES, -1), "value": value.reshape(s, TREES, -1), "leaf": leaf.reshape(s, TREES, -1).astype(np.float32)}
+    return {"feature": feature.reshape(s, TREES, -1), "value": value.reshape(s, TREES, -1), "depth": depth.reshape(s, TREES, -1)}
 
 
-def _score(f: np.ndarray, source: np.ndarray, forest: dict) -> np.ndarray:
-    """Isolation score of each reading, 0 to 1."""
-    total = np.zeros(len(f))
+def _leaves(f: np.ndarray, source: np.ndarray, forest: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each tree: the leaf of each reading, numbered over all sources, and the sizes of each source's leaves: all readings count."""
     inner, flat = (1 << DEPTH) - 1, np.ascontiguousarray(f, np.float32).reshape(-1)
-    row = np.arange(len(f)) * _FEATURES
+    row, sources = np.arange(len(f)) * _FEATURES, len(forest["depth"])
     for t in range(TREES):
         feature, value = forest["feature"][:, t].reshape(-1), forest["value"][:, t].reshape(-1)
         node, base = np.zeros(len(f), np.int64), source * inner
         for _ in range(DEPTH):
             at = base + node
             node = 2 * node + 1 + (flat[row + feature[at]] >= value[at])
-        total += forest["leaf"][:, t].reshape(-1)[source * (1 << DEPTH) + node - inner]
+        leaf = source * (1 << DEPTH) + node - inner
+        yield leaf, np.bincount(leaf, minlength=sources << DEPTH).reshape(sources, -1)
+
+
+def _score(f: np.ndarray, source: np.ndarray, forest: dict, sizes: dict) -> np.ndarray:
+    """Isolation score of each reading, 0 to 1; sizes: those of the leaves of each tree, of sources that are not all here."""
+    total = np.zeros(len(f))
+    for t, (leaf, size) in enumerate(_leaves(f, source, forest)):
+        for i, known in sizes.items():
+            size[i] = known[t]
+        # a reading is not among the others of its leaf; a source's only one is parted from nothing
+        others = size.sum(1, keepdims=True) - 1
+        scaled = SAMPLE * np.where(others > 0, np.maximum(size - 1, 0) / np.maximum(others, 1), 1.0)
+        total += (forest["depth"][:, t] + np.interp(scaled, np.arange(SAMPLE + 1), _PATHS)).reshape(-1)[leaf]
     return np.exp2(-total / TREES / float(_path(SAMPLE)))
 
 
@@ -216,12 +232,12 @@ def _unpack(blob: bytes) -> dict:
         return {k: z[k] for k in z.files}
 
 
-def _pool(group: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    """Rows of the POOL readings with the least `pick` of each group, by group and pick: the same draw however a source is cut."""
+def _drawn(group: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """Rows of the readings with the least `pick` of each group, enough for all trees, by group and pick: the same draw however a source is cut."""
     order = np.lexsort((pick, group))
     start = _runs(group[order])
     rank = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
-    return order[rank < POOL]
+    return order[rank < TREES * SAMPLE]
 
 
 def _forest_of(f: np.ndarray, group: np.ndarray, seeds: np.ndarray) -> dict:
@@ -234,16 +250,21 @@ def _forest_of(f: np.ndarray, group: np.ndarray, seeds: np.ndarray) -> dict:
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
 
 
+def _binned(score: np.ndarray) -> np.ndarray:
+    return np.floor(score * _SCORE_BINS).astype(np.int32)
+
+
 def _bounds(score: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
-    """The score that makes a reading of each group a candidate: SCORE, or more where over a share MOST of its pool reaches that."""
+    """The score that makes a reading of each group a candidate: SCORE, or more where over a share MOST of its readings reaches that."""
     out = np.full(groups, SCORE)
-    order = np.lexsort((score, group))
+    bins = _binned(score)
+    order = np.lexsort((bins, group))
     start = _runs(group[order])
     if len(start):
         n = np.diff(np.r_[start, len(order)])
         # the greatest score always remains one
         at = np.minimum(start + np.ceil((1 - MOST) * n).astype(int), start + n - 1)
-        out[group[order][start]] = np.maximum(SCORE, score[order][at])
+        out[group[order][start]] = np.maximum(SCORE, bins[order][at] / _SCORE_BINS)
     return out
 
 
@@ -305,40 +326,71 @@ def _picks(t: pa.Table) -> np.ndarray:
     return _mix(t.column("sk").to_numpy().view(np.uint64) ^ t.column("t").to_numpy().astype(np.uint64))
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each chunk of a split source tells about it: histograms of its steps and levels, and its share of the source's pool."""
-    for t in _Chunks(batches):
+def _told(batches: Iterator[pa.RecordBatch], tell) -> Iterator[pa.RecordBatch]:
+    """A blob for each chunk of a split source: what tell(name, log readings, features, picks, model so far) says of its prices and of what stands beside them."""
+    chunks = _Chunks(batches)
+    for t in chunks:
         chunk, series, period = _numbered(t)
         picks, out = _picks(t), ([], [], [])
         for mine in map(slice, _runs(chunk), np.r_[_runs(chunk)[1:], len(chunk)]):
-            parts = {}
+            src, parts = int(t.column("src")[mine.start].as_py()), {}
             for name in ("p", "c"):
                 v = t.column(name).to_numpy()[mine]
                 ok = _possible(v)
                 _, sid = np.unique(series[mine][ok], return_inverse=True)
                 x = np.log(v[ok])
-                got = _features(x, period[mine][ok], sid)
-                few = _pool(np.zeros(len(x), int), picks[mine][ok])
-                parts[f"f_{name}"], parts[f"k_{name}"] = got["f"][few], picks[mine][ok][few]
-                parts[f"at_{name}"], parts[f"n_{name}"] = np.unique((x / _LEVEL_WIDTH).astype(np.int32), return_counts=True)
-                if name == "p":
-                    hist, flat = _profile_of(x, got, np.zeros(len(x), int), 1)
-                    parts["hist"], parts["flat"] = hist[0], flat[0]
-            for column, value in zip(out, (int(t.column("src")[mine.start].as_py()), int(t.column("salt")[mine.start].as_py()), _pack(parts))):
+                parts |= tell(name, x, _features(x, period[mine][ok], sid), picks[mine][ok], chunks.models.get(src))
+            for column, value in zip(out, (src, int(t.column("salt")[mine.start].as_py()), _pack(parts))):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["src", "salt", "blob"])
 
 
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each chunk tells first: histograms of its steps and levels, and its share of what the source's trees draw."""
+
+    def tell(name, x, got, picks, model):
+        few = _drawn(np.zeros(len(x), int), picks)
+        at, n = np.unique((x / _LEVEL_WIDTH).astype(np.int32), return_counts=True)
+        out = {f"f_{name}": got["f"][few].astype(np.float32), f"k_{name}": picks[few], f"at_{name}": at, f"n_{name}": n}
+        if name == "p":
+            hist, flat = _profile_of(x, got, np.zeros(len(x), int), 1)
+            out |= {"hist": hist[0], "flat": flat[0]}
+        return out
+
+    return _told(batches, tell)
+
+
+def _forest_in(model: dict, name: str) -> dict:
+    return {a: model[f"{a}_{name}"] for a in ("feature", "value", "depth")}
+
+
+def _leaf_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each chunk tells when its source's trees have grown: how many of its readings are in each leaf."""
+    return _told(batches, lambda name, x, got, picks, model: {f"size_{name}": np.stack([size[0] for _, size in _leaves(got["f"], np.zeros(len(x), int), _forest_in(model, name))])})
+
+
+def _score_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each chunk tells when the leaves' sizes are known: the histogram of its readings' scores."""
+
+    def tell(name, x, got, picks, model):
+        at, n = np.unique(_binned(_score(got["f"], np.zeros(len(x), int), _forest_in(model, name), {0: model[f"size_{name}"]})), return_counts=True)
+        return {f"at_{name}": at, f"n_{name}": n}
+
+    return _told(batches, tell)
+
+
 def _merged(blobs) -> dict:
-    """The profile of several chunks together; the order in which chunks are merged does not matter."""
+    """What several chunks tell together; the order in which they are merged does not matter."""
     parts = [_unpack(b) for b in blobs]
-    out = {"hist": sum(p["hist"] for p in parts), "flat": sum(p["flat"] for p in parts)}
+    out = {k: sum(p[k] for p in parts) for k in ("hist", "flat", "size_p", "size_c") if k in parts[0]}
     for name in ("p", "c"):
-        f, k = (np.concatenate([p[f"{a}_{name}"] for p in parts]) for a in "fk")
-        few = np.argsort(k, kind="stable")[:POOL]
-        out[f"f_{name}"], out[f"k_{name}"] = f[few], k[few]
-        at, back = np.unique(np.concatenate([p[f"at_{name}"] for p in parts]), return_inverse=True)
-        out[f"at_{name}"], out[f"n_{name}"] = at, np.bincount(back, weights=np.concatenate([p[f"n_{name}"] for p in parts]), minlength=len(at)).astype(np.int64)
+        if f"f_{name}" in parts[0]:
+            f, k = (np.concatenate([p[f"{a}_{name}"] for p in parts]) for a in "fk")
+            few = np.argsort(k, kind="stable")[: TREES * SAMPLE]
+            out[f"f_{name}"], out[f"k_{name}"] = f[few], k[few]
+        if f"at_{name}" in parts[0]:
+            at, back = np.unique(np.concatenate([p[f"at_{name}"] for p in parts]), return_inverse=True)
+            out[f"at_{name}"], out[f"n_{name}"] = at, np.bincount(back, weights=np.concatenate([p[f"n_{name}"] for p in parts]), minlength=len(at)).astype(np.int64)
     return out
 
 
@@ -351,20 +403,37 @@ def _levels(x: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
     return (_group_median(group, np.floor(x / _LEVEL_WIDTH), groups) + 0.5) * _LEVEL_WIDTH
 
 
+def _ranked(got: dict, name: str, ranks) -> np.ndarray:
+    """Bins of the readings of some ranks, counted from 1."""
+    return got[f"at_{name}"][np.searchsorted(np.cumsum(got[f"n_{name}"]), ranks)]
+
+
 def _train(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The model of one split source from its chunks' profiles."""
+    """The model of one split source from its chunks' profiles: all but the sizes of its leaves and its bounds."""
     got = _merged(pdf["blob"])
     seed = np.array([int(pdf["src"].iloc[0])]).view(np.uint64)
     model = {"swing": _swing(got["hist"][None, :]), "flat": got["flat"][None, :]}
     for name in ("p", "c"):
         f = got[f"f_{name}"]
         one = np.zeros(len(f), int)
-        forest = _forest_of(f, one, seed)
-        below, n = np.cumsum(got[f"n_{name}"]), int(got[f"n_{name}"].sum())
-        middle = got[f"at_{name}"][np.searchsorted(below, [(n + 1) // 2, n // 2 + 1])].mean() if n else math.nan
+        n = int(got[f"n_{name}"].sum())
+        middle = _ranked(got, name, [(n + 1) // 2, n // 2 + 1]).mean() if n else math.nan
         model[f"level_{name}"] = np.array([(middle + 0.5) * _LEVEL_WIDTH])
-        model[f"bound_{name}"] = _bounds(_score(f, one, forest), one, 1)
-        model |= {f"{a}_{name}": v for a, v in forest.items()}
+        model |= {f"{a}_{name}": v for a, v in _forest_of(f, one, seed).items()}
+    return pd.DataFrame({"src": pdf["src"].iloc[:1].to_numpy(), "blob": [_pack(model)]})
+
+
+def _complete(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The model of one split source, beside it the sizes of its leaves, or its scores, by its chunks: with the sizes, or the bounds."""
+    mine = pdf["salt"] < 0
+    model, got = _unpack(pdf["blob"][mine].iloc[0]), _merged(pdf["blob"][~mine])
+    for name in ("p", "c"):
+        if f"size_{name}" in got:
+            model[f"size_{name}"] = got[f"size_{name}"]
+        else:
+            n = int(got[f"n_{name}"].sum())
+            bound = _ranked(got, name, [min(math.ceil((1 - MOST) * n), n - 1) + 1]) / _SCORE_BINS if n else np.zeros(1)
+            model[f"bound_{name}"] = np.maximum(SCORE, bound)
     return pd.DataFrame({"src": pdf["src"].iloc[:1].to_numpy(), "blob": [_pack(model)]})
 
 
@@ -437,15 +506,15 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     swing[i], flat[i] = m["swing"][0], m["flat"][0]
             if not len(at):
                 continue
-            pool = _pool(src, picks[at])
-            forest = _forest_of(got["f"][pool], src[pool], seeds)
+            few = _drawn(src, picks[at])
+            forest = _forest_of(got["f"][few], src[few], seeds)
             level = _levels(x, src, groups)
             for i, m in known:
                 level[i] = m[f"level_{n}"][0]
                 for a in forest:
                     forest[a][i] = m[f"{a}_{n}"][0]
-            score = _score(got["f"], src, forest)
-            bound = _bounds(score[pool], src[pool], groups)
+            score = _score(got["f"], src, forest, {i: m[f"size_{n}"] for i, m in known})
+            bound = _bounds(score, src, groups)
             for i, m in known:
                 bound[i] = m[f"bound_{n}"][0]
             far, stuck, clean = _judge(x, got, logs["c" if n == "p" else "p"][at], sid, src, score >= bound[src], level, swing, flat, n == "p")
@@ -474,14 +543,17 @@ def flag_spikes(rows: DataFrame, source: Column, series: Column, period: Column,
       median of up to eight around it than a sale (below half), a lasting move, or two usual steps explain;
     `stuck`: four or more equal readings in a row, all but the first, where fewer than 45 % of the source's steps are flat.
 
-    The forests (32 trees of 128 readings, drawn from a random pool of up to 1,024 of the source's, as the
-    method has it) use level, differences to both neighbours, distance from their median, difference to four
-    periods before, and run length. Every reading is scored; a reading is isolated at a score of 0.62, or at
-    the score that a tenth of its source's pool reaches, if that is more. What swings a source usually makes
-    is left to its forest. A source's model depends on its readings only: the pool has the least hashes of
-    all its readings, levels and steps are histograms, so a source of over 50,000 rows, which is spread over
-    chunks of its series whose profiles are merged in a tree, has the same model as in one piece. Null values
-    are no readings; rows without a series or period are left out; those without a source are one source.
+    The forests (32 trees) use level, differences to both neighbours, distance from their median, difference
+    to four periods before, and run length. A tree's cuts are random, as the method has it: each lies between
+    the extremes of 128 of the source's readings, which are drawn from all. What is counted is counted over
+    all readings: the sizes of the leaves (a reading's path ends among the others of its leaf, as many as they
+    would be if the source had 128 readings), the scores, the levels and the steps. Every reading is scored; a reading is isolated at a score of 0.62, or at the score that a tenth of
+    its source's readings reaches, if that is more. What swings a source usually makes is left to its forest.
+    A source's model depends on its readings only: draws are least hashes, counts are histograms, so a source
+    of over 50,000 rows, which is spread over chunks of its series, has the same model as in one piece. Its
+    chunks are read once for steps, levels and trees, once for the leaves, once for the scores; what they tell
+    is merged in a tree. Null values are no readings; rows without a series or period are left out; those
+    without a source are one source.
     """
     x = lambda c: F.nanvl(c.cast("double"), F.lit(None).cast("double"))
     base = rows.select(F.xxhash64(source).alias("src"), series.cast("string").alias("series"), period.cast("int").alias("t"), version.cast("string").alias("ver"), x(value).alias("p"), x(beside).alias("c"))
@@ -501,15 +573,27 @@ def flag_spikes(rows: DataFrame, source: Column, series: Column, period: Column,
     def arranged(df: DataFrame) -> DataFrame:
         return df.select(*columns).repartition("src", "salt").sortWithinPartitions("src", "salt", "kind", "sk", "series", "t", F.col("ver").desc_nulls_last(), F.col("p").asc_nulls_last(), F.col("c").asc_nulls_last()).drop("ver")
 
-    whole = base.select(*columns)
-    if seen["rows"]:
-        profiles = arranged(base.where("chunks is not null")).mapInArrow(_profile, "src long, salt int, blob binary")
+    if not seen["rows"]:
+        return arranged(base).mapInArrow(_flag, "series string, t int, field string, rule string, score double")
+    split, _ = scratch.write(base.where("chunks is not null").select(*columns))
+    null = lambda c: F.lit(None).cast(dict(base.dtypes)[c]).alias(c)
+
+    def beside(models: DataFrame) -> DataFrame:
+        """A row of each chunk's source's model."""
+        each = models.join(table, F.col("src") == F.col("lsrc")).select("src", "blob", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"))
+        return each.select("src", F.col("salt").cast("int").alias("salt"), F.lit(0).alias("kind"), *[null(c) for c in columns if c not in ("src", "salt", "kind", "blob")], "blob")
+
+    models = None
+    for tell in (_profile, _leaf_sizes, _score_bins):
+        told = arranged(split.unionByName(beside(models)) if models is not None else split).mapInArrow(tell, "src long, salt int, blob binary")
         most = seen["most"]
         while most > FAN:
-            profiles = profiles.groupBy("src", F.floor(F.col("salt") / FAN)).applyInPandas(_merge, "src long, salt int, blob binary")
+            told = told.groupBy("src", F.floor(F.col("salt") / FAN)).applyInPandas(_merge, "src long, salt int, blob binary")
             most = -(-most // FAN)
-        models = profiles.groupBy("src").applyInPandas(_train, "src long, blob binary")
-        models = models.join(table, F.col("src") == F.col("lsrc")).select("src", "blob", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"))
-        null = lambda c: F.lit(None).cast(dict(base.dtypes)[c]).alias(c)
-        whole = whole.unionByName(models.select("src", F.col("salt").cast("int").alias("salt"), F.lit(0).alias("kind"), *[null(c) for c in columns if c not in ("src", "salt", "kind", "blob")], "blob"))
+        if models is not None:
+            told = told.unionByName(models.withColumn("salt", F.lit(-1)))
+        before, (models, _) = models, scratch.write(told.groupBy("src").applyInPandas(_complete if models is not None else _train, "src long, blob binary"))
+        if before is not None:
+            scratch.drop(before)
+    whole = base.where("chunks is null").select(*columns).unionByName(split).unionByName(beside(models))
     return arranged(whole).mapInArrow(_flag, "series string, t int, field string, rule string, score double")

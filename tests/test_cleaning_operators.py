@@ -184,6 +184,62 @@ def test_the_score_decides_on_the_panel(spark, monkeypatch):
     assert on < run()
 
 
+CHUNK = {"src": pa.int64(), "salt": pa.int32(), "kind": pa.int32(), "sk": pa.int64(), "series": pa.string(), "t": pa.int32(), "p": pa.float64(), "c": pa.float64(), "blob": pa.binary()}
+
+
+def a_source(chunks=1, models=()):
+    """5,000 readings of one source, a quarter of them far off, and its model in each chunk."""
+    rng = np.random.default_rng(3)
+    prices = np.exp(rng.normal(6, 0.05, 5000) + np.where(rng.random(5000) < 0.25, rng.uniform(-2, 2, 5000), 0))
+    rows = [(7, i // 20 % chunks, 1, 1000 * (i // 20), f"v{i // 20}", i % 20, float(p), None, None) for i, p in enumerate(prices)]
+    rows += [(7, salt, 0, None, None, None, None, None, m) for salt in range(chunks) for m in models]
+    rows.sort(key=lambda r: (r[1], r[2], r[3] or 0, r[5] or 0))
+    return iter([pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), CHUNK.values())], names=list(CHUNK))])
+
+
+def test_all_readings_of_a_source_set_its_score_bound(monkeypatch):
+    score, judge, scores, candidates = spikes._score, spikes._judge, [], []
+    monkeypatch.setattr(spikes, "SCORE", 0.4)  # over a tenth reaches that
+    monkeypatch.setattr(spikes, "_score", lambda *a: scores.append(score(*a)) or scores[-1])
+    monkeypatch.setattr(spikes, "_judge", lambda *a, **kw: candidates.append(a[5]) or judge(*a, **kw))
+    assert sum(map(len, spikes._flag(a_source()))) > 0
+    bins = np.floor(scores[0] * 65536)
+    assert len(bins) == 5000 and np.sort(bins)[4500] / 65536 > spikes.SCORE
+    assert np.array_equal(candidates[0], bins >= np.sort(bins)[4500])
+
+
+def test_all_readings_of_a_source_count_in_its_leaves(monkeypatch):
+    score, seen = spikes._score, []
+    monkeypatch.setattr(spikes, "_score", lambda *a: seen.append((*a[:3], score(*a))) or seen[-1][-1])
+    list(spikes._flag(a_source()))
+    f, source, forest, got = seen[0]
+    f, found = f.astype(np.float32), []
+    for feature, value in zip(forest["feature"][0], forest["value"][0]):
+        at = []
+        for x in f:
+            node = 0
+            while node < len(value):
+                node = 2 * node + 1 + bool(x[feature[node]] >= value[node])
+            at.append(node)
+        # a node that splits nothing leaves a way of lefts below it
+        depth = {n: next((d for d in range(spikes.DEPTH) if np.isinf(value[(n + 1 >> spikes.DEPTH - d) - 1])), spikes.DEPTH) for n in set(at)}
+        others = {n: 128 * (at.count(n) - 1) / 4999 for n in set(at)}
+        found.append([depth[n] + np.interp(others[n], np.arange(129), spikes._path(np.arange(129))) for n in at])
+    assert len(f) == 5000 and np.allclose(got, 2 ** (-np.mean(found, 0) / spikes._path(128)))
+
+
+def test_a_split_source_is_flagged_like_a_whole_one(monkeypatch):
+    monkeypatch.setattr(spikes, "SCORE", 0.4)
+    flagged = lambda batches: sorted(r for b in batches for r in zip(*b.to_pydict().values()))
+    whole, models = flagged(spikes._flag(a_source())), ()
+    for tell in (spikes._profile, spikes._leaf_sizes, spikes._score_bins):
+        got = pd.concat([b.to_pandas() for b in tell(a_source(3, models))] + [pd.DataFrame({"src": [7], "salt": [-1], "blob": [m]}) for m in models])
+        models = tuple((spikes._complete if models else spikes._train)(got)["blob"])
+    model = spikes._unpack(models[0])
+    assert (model["size_p"].sum(1) == 5000).all() and model["bound_p"][0] > spikes.SCORE
+    assert flagged(spikes._flag(a_source(3, models))) == whole and len(whole) > 100
+
+
 def test_repeated_rows_of_one_series_are_not_held():
     names = {"src": pa.int64(), "salt": pa.int32(), "kind": pa.int32(), "sk": pa.int64(), "series": pa.string(), "t": pa.int32(), "p": pa.float64(), "c": pa.float64(), "blob": pa.binary()}
     batch = pa.RecordBatch.from_arrays([pa.array([x] * 1000, k) for x, k in zip((1, 0, 1, 5, "v", 3, 2.0, None, None), names.values())], names=list(names))
